@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, tokens
+from . import bpe, minhash, substrings, tokens
 from .scratch import scratch_path
 
 #: Vocabulary file of the token queries, and its number of ids.
@@ -33,9 +33,20 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op9_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), minhash.MinMax(shingle=3, numerator=85))
+
+
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(_table(spark, sf_dir, "documents"), window=35)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op7_packed_ids": op7_packed_ids,
     "op8_bpe": op8_bpe,
+    "op9_minmax": op9_minmax,
+    "op10_repeats": op10_repeats,
 }
 ORACLES: dict[str, str] = {}
