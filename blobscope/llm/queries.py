@@ -8,18 +8,28 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, substrings, tokens
+from . import bpe, decontaminate, minhash, shards, substrings, tokens
 from .scratch import scratch_path
 
 #: Vocabulary file of the token queries, and its number of ids.
 TOKENIZER, VOCABULARY = public_tokenizers.path("byte_bpe_50k.json"), 50257
 TOKEN_LIMIT = 1024
+SHARDS = 40
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shards.shard_by_bytes(_table(spark, sf_dir, "documents"), SHARDS)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = tokens.count_tokens(_table(spark, sf_dir, "documents"), TOKENIZER, scratch_path(spark, "token-cache"))
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
@@ -43,10 +53,12 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_shards": op2_shards,
+    "op4_decontamination": op4_decontamination,
     "op5_token_counts": op5_token_counts,
     "op7_packed_ids": op7_packed_ids,
     "op8_bpe": op8_bpe,
     "op9_minmax": op9_minmax,
     "op10_repeats": op10_repeats,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_decontamination": decontaminate.ORACLE}
