@@ -43,8 +43,8 @@ def item_windows(items: DataFrame, window: int, id_col: str, text_col: str) -> D
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """`id`, n_words, n_hit (words inside an occurring window), n_items, items (ids as sorted strings) for
-    every row.
+    """`id`, th (hash of the text), n_words, n_hit (words inside an occurring window), n_items, items (ids as
+    sorted strings) for every row.
 
     Null and wordless texts have no words; items that are null, wordless or without an id never match.
     Repeated items share their windows and are all listed; repeated documents each keep their row. With an
@@ -83,7 +83,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
     out = covered.join(named, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")), "left")
     items_ = F.coalesce("items", F.array().cast("array<string>"))
     # repeated rows were counted together and come apart again
-    return out.select(F.col("id").alias(id_col), F.explode(F.array_repeat(F.struct("n_words", "n_hit", F.size(items_).cast("long").alias("n_items"), items_.alias("items")), F.col("copies").cast("int"))).alias("r")).select(id_col, "r.*")
+    return out.select(F.col("id").alias(id_col), "th", F.explode(F.array_repeat(F.struct("n_words", "n_hit", F.size(items_).cast("long").alias("n_items"), items_.alias("items")), F.col("copies").cast("int"))).alias("r")).select(id_col, "th", "r.*")
 
 
 def is_contaminated() -> Column:

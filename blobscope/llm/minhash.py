@@ -128,11 +128,8 @@ def confirm(pairs: DataFrame, sets: DataFrame, p: MinMax) -> DataFrame:
     return counted.where(F.col("i") * p.denominator >= (F.col("n") - F.col("i")) * p.numerator).select("a", "b")
 
 
-def near_duplicates(df: DataFrame, p: MinMax, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`id`, n_shingles (size of the set), component_id (smallest id that links reach), kept (it is that one).
-
-    Null and wordless texts have an empty set and are linked with nothing. Equal ids or repeated rows: each
-    row is returned; equal sets are linked. A null id is larger than all others. An empty table gives none."""
+def labels(df: DataFrame, p: MinMax, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As near_duplicates, with the hash of the text (th)."""
     signed = materialize(sign(df, p, id_col, text_col), "signed")
     classes = materialize(signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("first_id"), F.min("th").alias("th"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n")), "classes")
     members = classes.select("node", "n", F.explode("bands").alias("bucket"))
@@ -156,7 +153,34 @@ def near_duplicates(df: DataFrame, p: MinMax, id_col: str = "doc_id", text_col:
         roots = components(links.unionByName(more))
     labelled = classes.select("node", "first_id").join(materialize(roots, "roots"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labels = labelled.join(lowest, "root").select("node", "component_id")
-    out = signed.select("id", "n_shingles", "node").join(labels, "node", "left")
+    components_ = labelled.join(lowest, "root").select("node", "component_id")
+    out = signed.select("id", "th", "n_shingles", "node").join(components_, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return out.select(F.col("id").alias(id_col), "th", "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+
+
+def near_duplicates(df: DataFrame, p: MinMax, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`id`, n_shingles (size of the set), component_id (smallest id that links reach), kept (it is that one).
+
+    Null and wordless texts have an empty set and are linked with nothing. Equal ids or repeated rows: each
+    row is returned; equal sets are linked. A null id is larger than all others. An empty table gives none."""
+    return labels(df, p, id_col, text_col).drop("th")
+
+
+def drop_near_duplicates(df: DataFrame, p: MinMax, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `df` without those that near_duplicates doesn't keep; of repeated rows one stays."""
+    found = labels(df, p, id_col, text_col)
+    rows = found.groupBy(id_col, "th").agg(F.count("*").alias("n"), F.max("kept").alias("kept"))
+    out = without(df, rows.where(~F.col("kept")), id_col, text_col)
+    if rows.where((F.col("n") > 1) & F.col("kept")).isEmpty():
+        return out
+    # repeated rows come next to each other; a wordless text may repeat as well
+    return out.withColumn("__th", F.xxhash64(text_col)).dropDuplicates([id_col, "__th"]).drop("__th")
+
+
+def without(df: DataFrame, bad: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `df` whose id and text hash (th) aren't in `bad`. A list of at most BROADCAST_KEYS keys
+    is broadcast, a longer one is joined by a shuffle."""
+    bad = materialize(bad.select(F.col(id_col).alias("__id"), F.col("th").alias("__th")).distinct(), "dropped")
+    keys = F.broadcast(bad) if bad.count() <= BROADCAST_KEYS else bad
+    return df.join(keys, df[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(df[text_col]) == F.col("__th")), "left_anti")

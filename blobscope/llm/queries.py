@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, minhash, shards, substrings, tokens
+from . import bpe, covertree, decontaminate, minhash, pii, shards, substrings, tokens, toxicity
 from .scratch import scratch_path
 
 #: Vocabulary file of the token queries, and its number of ids.
@@ -21,11 +21,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shards.shard_by_bytes(_table(spark, sf_dir, "documents"), SHARDS)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(_table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -35,6 +43,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op6_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op7_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.packed_round_trip(_table(spark, sf_dir, "documents"), TOKENIZER, VOCABULARY)
 
@@ -53,9 +65,12 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_shards": op2_shards,
+    "op3_pii": op3_pii,
     "op4_decontamination": op4_decontamination,
     "op5_token_counts": op5_token_counts,
+    "op6_covertree": op6_covertree,
     "op7_packed_ids": op7_packed_ids,
     "op8_bpe": op8_bpe,
     "op9_minmax": op9_minmax,
