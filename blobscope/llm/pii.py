@@ -151,10 +151,21 @@ def _characters(m: Mapped) -> None:
 _AT, _DOT = r"(?:at|arroba|chez|ät|@)", r"(?:dot|dt|punkt|punto|point|\.)"
 _BRACKET_AT = re.compile(rf"\s{{0,3}}[\[({{<]\s{{0,3}}{_AT}\s{{0,3}}[\])}}>]\s{{0,3}}", re.I)
 _BRACKET_DOT = re.compile(rf"\s{{0,3}}[\[({{<]\s{{0,3}}{_DOT}\s{{0,3}}[\])}}>]\s{{0,3}}", re.I)
-_ENTITY_AT, _ENTITY_DOT = re.compile(r"&#0*64;|&#x0*40;|&commat;", re.I), re.compile(r"&#0*46;|&#x0*2e;|&period;", re.I)
+_ENTITY_AT, _ENTITY_DOT = re.compile(r"&#0*64;|&#x0*40;|&commat;|(?<=[A-Za-z0-9])%40(?=[A-Za-z0-9-]+\.)", re.I), re.compile(r"&#0*46;|&#x0*2e;|&period;", re.I)
 _GAP = r"(?:[ \t]{1,3}|[ \t]?[_-]{1,2}[ \t]?)"
-#: name AT host DOT top: only where a spelled dot, or a name unlike a word, tells it from prose.
-_SPELLED = re.compile(rf"(?<![A-Za-z0-9._%+-])([A-Za-z0-9][A-Za-z0-9.%+]{{0,63}})({_GAP}(?:at|arroba){_GAP}|[ \t]{{0,2}}@[ \t]{{0,2}})([A-Za-z0-9]{{1,63}}(?:(?:{_GAP}(?:dot|punkt|punto|point){_GAP}|\.)[A-Za-z0-9]{{1,63}}){{1,5}})(?![A-Za-z0-9])", re.I)
+#: name AT host DOT top: only where a spelled dot, or a name unlike a word, tells it from prose. With white
+#: space around the words names may hold _ and -; otherwise those are the gaps.
+_SAY_AT, _SAY_DOT = r"(?:at|arroba)", r"(?:dot|punkt|punto|point)"
+
+
+def _spelled(gap: str, more: str) -> re.Pattern[str]:
+    dot = rf"{gap}{_SAY_DOT}{gap}"
+    name = rf"[A-Za-z0-9][A-Za-z0-9.%+{more}]{{0,63}}(?:{dot}[A-Za-z0-9][A-Za-z0-9%+{more}]{{0,63}}){{0,3}}"
+    label = rf"[A-Za-z0-9{more.replace('_', '')}]{{1,63}}"
+    return re.compile(rf"(?<![A-Za-z0-9._%+-])({name})({gap}{_SAY_AT}{gap}|[ \t]{{0,2}}@[ \t]{{0,2}})({label}(?:(?:{dot}|\.){label}){{1,5}})(?![A-Za-z0-9])", re.I)
+
+
+_SPELLED = (_spelled(r"[ \t]{1,3}", "_-"), _spelled(r"[ \t]?[_-]{1,2}[ \t]?", ""))
 _SPELLED_DOT = re.compile(rf"{_GAP}(?:dot|punkt|punto|point){_GAP}", re.I)
 _NUMBER_DOT = re.compile(rf"(?<=[0-9])(?:{_GAP}(?:dot|punkt|punto|point){_GAP})(?=[0-9])", re.I)
 #: Ends of host names that a spelled at without a spelled dot may have.
@@ -164,13 +175,15 @@ TOPS = frozenset("com org net edu gov io co info biz de fr es uk eu us ch at".sp
 def _at_and_dot(m: Mapped) -> None:
     for pattern, new in ((_ENTITY_AT, "@"), (_ENTITY_DOT, "."), (_BRACKET_AT, "@"), (_BRACKET_DOT, ".")):
         m.rewrite([(x.start(), x.end(), new) for x in pattern.finditer(m.text)])
-    edits = []
-    for x in _SPELLED.finditer(m.text):
-        dots = [(x.start(3) + d.start(), x.start(3) + d.end(), ".") for d in _SPELLED_DOT.finditer(x[3])]
-        name = re.search(r"[0-9.]", x[1]) and re.split(r"\.", x[3])[-1].lower() in TOPS
-        if dots or (name or "@" in x[2]) and x[2] != "@" and x[3].rpartition(".")[2].lower() in TOPS:
-            edits += [(x.start(2), x.end(2), "@")] * (x[2] != "@") + dots
-    m.rewrite(edits)
+    for pattern in _SPELLED:
+        edits = []
+        for x in pattern.finditer(m.text):
+            before, after = ([(x.start(g) + d.start(), x.start(g) + d.end(), ".") for d in _SPELLED_DOT.finditer(x[g])] for g in (1, 3))
+            top = x[3].rpartition(".")[2].lower() in TOPS
+            odd = re.search(r"[0-9._]", x[1]) or "@" in x[2]
+            if after or odd and top and x[2] != "@":
+                edits += [*before, *([(x.start(2), x.end(2), "@")] if x[2] != "@" else []), *after]
+        m.rewrite(edits)
     m.rewrite([(x.start(), x.end(), ".") for x in _NUMBER_DOT.finditer(m.text)])
 
 
@@ -227,7 +240,7 @@ def _letters_for_digits(m: Mapped) -> None:
 
 
 TRANSDUCERS: tuple[Callable[[Mapped], None], ...] = (_characters, _at_and_dot, _spelled_digits, _letters_for_digits)
-_SIGNS = ("dot", "punkt", "punto", "point", "[at", "(at", "{at", "<at", "[ at", "( at", "{ at", "< at", "&#", "commat", "[@", "(@", "{@", "<@", "@ ", " @", "arroba", "[.", "(.", "{.", "<.", "plus ")
+_SIGNS = ("dot", "punkt", "punto", "point", "[at", "(at", "{at", "<at", "[ at", "( at", "{ at", "< at", "&#", "commat", "%40", "[@", "(@", "{@", "<@", "@ ", " @", "arroba", "[.", "(.", "{.", "<.", "plus ")
 _NAMES = tuple(f" {n}" for n in DIGITS)
 
 
@@ -237,7 +250,7 @@ def disguised(text: str) -> bool:
     if not text.isascii() and _ODD.search(text):
         return True
     low = text.lower()
-    return any(s in low for s in _SIGNS) or sum(n in low for n in _NAMES) > 0 and bool(_RUN.search(text)) or bool(re.search(r"(?<=[0-9])[ -]?[OoIl|]", text) and _LETTERS.search(text)) or bool(re.search(r" at [a-z0-9.-]+\.[a-z]{2,4}\b", low))
+    return any(s in low for s in _SIGNS) or sum(n in low for n in _NAMES) > 0 and bool(_RUN.search(text)) or bool(re.search(r"(?<=[0-9])[ -]?[OoIl|]", text) and _LETTERS.search(text)) or bool(" at " in low and re.search(r"[0-9._][a-z0-9._-]* at [a-z0-9.-]+\.[a-z]{2,4}\b", low))
 
 
 def find(text: str) -> tuple[list[Span], list[Span]]:
