@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Critical value of chi-square with 255 degrees of freedom at 0.01.
 CRITICAL_A01 = 310.457
@@ -13,7 +14,7 @@ LIBRARY_ENTROPY, DEFAULT_ENTROPY = 7.95, 7.92
 LEAST_SCAN, LARGE_COMMENT, LARGE_APP = 256, 256, 32768
 
 
-@F.arrow_udf("array<bigint>")
+@F.arrow_udf(T.ArrayType(T.LongType()))  # a type, not a string: the module is imported before a session
 def byte_histogram(content: pa.Array) -> pa.Array:
     """256 counts of each blob; null for null."""
     rows = [None if b is None else np.bincount(np.frombuffer(b, np.uint8), minlength=256) for b in (x.as_py() for x in content)]

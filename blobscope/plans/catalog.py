@@ -120,7 +120,7 @@ def app_findings(spark, sf):
 SELECT doc_id, CAST(2 * n + 4 AS BIGINT) AS scan_bytes, round((2 * good + 3) / (2 * n + 4), 6) AS ratio, 2 * n + 4 >= 256 AND (2 * good + 3) / (2 * n + 4) > 0.12 AS has_ascii FROM s""")
 def scan_findings(spark, sf):
     body = F.concat(c.utf8(col("text")), c.raw(b"\xff\0"), c.utf8(col("text")), c.raw(b"\xff\xd3END"))
-    d = table(spark, sf, "documents").select("doc_id", udfs.scan_stream(c.jpeg(c.APP0, scan=body))["content"].alias("s"))
+    d = table(spark, sf, "documents").select("doc_id", udfs.scan_stream(c.jpeg(c.app0(), scan=body))["content"].alias("s"))
     x = d.select("doc_id", stats.byte_histogram(col("s")).alias("hist")).select("doc_id", stats.scan_report(col("hist")).alias("x"))
     return x.select("doc_id", col("x.scan_data_bytes").alias("scan_bytes"), r(col("x.ascii_ratio")).alias("ratio"), F.exists("x.findings", lambda f: f["finding_type"] == "EmbeddedAsciiText").alias("has_ascii"))
 
@@ -132,7 +132,7 @@ def overlay_carrier(spark: SparkSession, sf: str) -> DataFrame:
     tail = F.expr("substring(text, 1, cast(doc_id % 50 as int))")
     small = F.lit(16)
     made = (
-        F.when(col("doc_id") % 3 == 0, c.jpeg(c.APP0, c.sof0(small, small), scan=c.raw(b"scan")))
+        F.when(col("doc_id") % 3 == 0, c.jpeg(c.app0(), c.sof0(small, small), scan=c.raw(b"scan")))
         .when(col("doc_id") % 3 == 1, c.png(c.png_chunk(b"IHDR", c.ihdr(small, small))))
         .otherwise(c.gif(small, small, c.gif_comment(c.raw(b"hello"))))
     )
@@ -364,7 +364,7 @@ def tag_lookup(spark, sf):
 def jpeg_files(spark: SparkSession, sf: str) -> DataFrame:
     """SOI, APP0, a comment, SOF0, a scan, EOI from documents."""
     comment = c.utf8(F.trim(F.regexp_replace(F.substring("text", 1, 200), "\\s+", " ")))
-    made = c.jpeg(c.APP0, c.jpeg_segment(0xFE, comment), c.sof0(col("doc_id") % 4000 + 1, col("n_chars") % 3000 + 1), scan=c.raw(b"0123456789"))
+    made = c.jpeg(c.app0(), c.jpeg_segment(0xFE, comment), c.sof0(col("doc_id") % 4000 + 1, col("n_chars") % 3000 + 1), scan=c.raw(b"0123456789"))
     return table(spark, sf, "documents").select("doc_id", F.concat(F.lit("/d/"), col("doc_id").cast("string"), F.lit(".jpg")).alias("path"), made.alias("content"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..operators.walkers import PNG_SIGNATURE
+
 
 def raw(data: bytes) -> Column:
     return F.lit(bytearray(data))
@@ -34,7 +36,8 @@ def jpeg(*segments: Column, scan: Column | None = None, overlay: Column | None =
     return F.concat(*parts, *([] if overlay is None else [overlay]))
 
 
-APP0 = raw(b"\xff\xe0\x00\x10JFIF\0\x01\x01\0\0\x01\0\x01\0\0")
+def app0() -> Column:
+    return raw(b"\xff\xe0\x00\x10JFIF\0\x01\x01\0\0\x01\0\x01\0\0")
 
 
 def sof0(width: Column, height: Column) -> Column:
@@ -50,7 +53,7 @@ def png_chunk(kind: bytes, body: Column, broken: Column | None = None) -> Column
     return F.concat(be(F.octet_length(body), 4), named, be(crc, 4))
 
 
-PNG_HEAD = raw(b"\x89PNG\r\n\x1a\n")
+
 
 
 def ihdr(width: Column, height: Column) -> Column:
@@ -58,7 +61,7 @@ def ihdr(width: Column, height: Column) -> Column:
 
 
 def png(*chunks: Column) -> Column:
-    return F.concat(PNG_HEAD, *chunks, png_chunk(b"IEND", raw(b"")))
+    return F.concat(raw(PNG_SIGNATURE), *chunks, png_chunk(b"IEND", raw(b"")))
 
 
 def gif(width: Column, height: Column, *blocks: Column) -> Column:
