@@ -9,9 +9,8 @@ sample shows to be hot are dealt out window by window instead; the sample only d
 
 Locate: documents are dealt into buckets of bounded size together with the places of the recurring passages
 confirmed for the bucket. Each bucket compiles its distinct passages into Aho-Corasick automata (a pattern
-of `anchor` words every window - anchor words, so each window of a passage holds one), streams all its
-documents through them, and extends each hit word by word. Only stretches of at least `window` equal words
-count, compared as words, so a chance hit removes nothing.
+of `anchor` words every window - anchor words, so each window of a passage holds one) and streams all its
+documents through them. The windows around a hit are candidates, and those equal to a confirmed window count.
 """
 
 from __future__ import annotations
@@ -25,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import BASE, WORDS, mix, run_hashes, split
+from .words import BASE, WORDS, among, distinct, mix, run_hashes, split
 
 #: Text that a task looks at together when it settles windows.
 SLICE_BYTES = 16 << 20
 #: Text of a bucket, and characters of patterns in one automaton.
 BUCKET_BYTES = 8 << 20
 SHARD_CHARS = 4 << 20
+MOST_PARTITIONS = 20_000
 #: One document in so many is looked at for hot anchors; an anchor is hot from so many sightings on, or from
 #: this share of all sightings if that is more, so that the list stays below 1 / HOT_SHARE entries.
 HOT_SAMPLE, HOT_SEEN, HOT_SHARE = 64, 32, 1e-5
@@ -95,7 +95,7 @@ def _route(window: int, anchor: int, hot: np.ndarray):
             out.append((rows[text[a]], rows[text[a]], start[a], start[z] + window, None, None))
         one = np.flatnonzero(first)
         if len(one):
-            single = np.isin(low[one], hot)
+            single = among(low[one], hot)
             new = np.ones(len(one), bool)
             new[1:] = (text[one[1:]] != text[one[:-1]]) | (one[1:] != one[:-1] + 1) | (low[one[1:]] != low[one[:-1]]) | single[1:]
             s, e = _runs(new)
@@ -170,72 +170,82 @@ def _confirm(window: int):
     return run
 
 
-def _automata(passages: list[list[bytes]], window: int, anchor: int) -> Iterator[tuple[ahocorasick.Automaton, list[list[tuple[int, int]]]]]:
-    """Automata over the passages' patterns, each of bounded size, with the places of each pattern."""
-    places: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-    for p, words in enumerate(passages):
-        for o in range(0, len(words) - anchor + 1, window - anchor + 1):
-            places[b" ".join([b"", *words[o : o + anchor], b""])].append((p, o))
-    shard, at, size = ahocorasick.Automaton(), [], 0
-    for pattern, where in places.items():
-        shard.add_word(pattern.decode("latin-1"), len(at))
-        at.append(where)
+def _automata(passages: list[tuple[bytes, ...]], window: int, anchor: int) -> Iterator[ahocorasick.Automaton]:
+    """Automata over the distinct patterns of the passages, each of bounded size."""
+    step = window - anchor + 1
+    patterns = {b" ".join([b"", *words[o : o + anchor], b""]) for words in passages for o in range(0, len(words) - anchor + 1, step)}
+    shard, size = ahocorasick.Automaton(), 0
+    for pattern in patterns:
+        shard.add_word(pattern.decode("latin-1"), True)
         size += len(pattern)
         if size > SHARD_CHARS:
             shard.make_automaton()
-            yield shard, at
-            shard, at, size = ahocorasick.Automaton(), [], 0
-    if at:
+            yield shard
+            shard, size = ahocorasick.Automaton(), 0
+    if size:
         shard.make_automaton()
-        yield shard, at
+        yield shard
 
 
 def remove_located(texts: list[str | None], places: list[list[tuple[int, int]]], window: int, anchor: int) -> list[tuple[int, int, str]]:
-    """n_words, n_removed and kept words of each text of a bucket; places: where passages were confirmed."""
+    """n_words, n_removed and kept words of each text of a bucket; places: where passages were confirmed.
+
+    A hit of a pattern makes the windows around it candidates, and those among the confirmed windows count."""
     docs = [split(t) for t in texts]
-    covered = [np.zeros(len(d), bool) for d in docs]
-    distinct: dict[tuple[bytes, ...], None] = {}
-    for d, c, spans in zip(docs, covered, places, strict=True):
-        for s, e in spans:
-            c[s:e] = True
-        edge = np.flatnonzero(np.diff(np.r_[False, c, False].astype(np.int8)))
-        for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-            distinct[tuple(d[s:e])] = None
-    passages = list(distinct)
-    hashed: dict[int, np.ndarray] = {}
-    for automaton, at in _automata(passages, window, anchor):
-        for d, c in zip(docs, covered, strict=True):
+    passages: dict[tuple[bytes, ...], None] = {}
+    confirmed, full = [], {}
+    for i, (d, spans) in enumerate(zip(docs, places, strict=True)):
+        if not spans:
+            continue
+        full[i] = run_hashes(WORDS.of(d), window)
+        inside = np.zeros(len(full[i]) + 1, np.int64)
+        at = np.array(spans)
+        np.add.at(inside, at[:, 0], 1)
+        np.add.at(inside, at[:, 1] - window + 1, -1)
+        windows = np.cumsum(inside)[:-1] > 0
+        confirmed.append(full[i][windows])
+        for s, e in _stretches(_cover(windows, len(d), window)):
+            passages[tuple(d[s:e])] = None
+    known = distinct(np.concatenate(confirmed)) if confirmed else np.zeros(0, np.uint64)
+    near = [np.zeros(len(d) + 1, np.int64) for d in docs]  # changes in the number of hits a window start is near
+    for automaton in _automata(list(passages), window, anchor):
+        for d, n in zip(docs, near, strict=True):
             if len(d) < window:
                 continue
-            stream = b" ".join([b"", *d, b""]).decode("latin-1")
-            hits = [(end, k) for end, k in automaton.iter(stream)]
-            if not hits:
-                continue
-            ends = np.cumsum([len(w) + 1 for w in d])  # of each word's closing space in the stream
-            own, total = None, np.r_[0, np.cumsum(c)]
-            for j, (_, k) in zip((np.searchsorted(ends, [x[0] for x in hits]) - anchor + 1).tolist(), hits, strict=True):
-                for p, o in at[k]:
-                    s, e = max(0, j - o), min(len(d), j - o + len(passages[p]))
-                    if e - s < window or total[e] - total[s] == e - s:
-                        continue
-                    if own is None:
-                        own = WORDS.of(d)
-                    if p not in hashed:
-                        hashed[p] = WORDS.of(passages[p])
-                    differ = np.flatnonzero(own[s:e] != hashed[p][s - j + o : e - j + o]) + s
-                    left = int(np.searchsorted(differ, j))
-                    x = int(differ[left - 1]) + 1 if left else s
-                    y = int(differ[left]) if left < len(differ) else e
-                    if y - x >= window and d[x:y] == list(passages[p][x - j + o : y - j + o]):
-                        c[x:y] = True
-                        total = np.r_[0, np.cumsum(c)]
+            hits = [end for end, _ in automaton.iter(b" ".join([b"", *d, b""]).decode("latin-1"))]
+            if hits:
+                ends = np.cumsum([len(w) + 1 for w in d])  # of each word's closing space in the stream
+                first = np.searchsorted(ends, hits) - anchor + 1
+                np.add.at(n, np.maximum(0, first + anchor - window), 1)
+                np.add.at(n, first + 1, -1)
     out = []
-    for d, c in zip(docs, covered, strict=True):
-        kept = [w for w, x in zip(d, c.tolist(), strict=True) if not x] if c.any() else d
+    for i, (d, n) in enumerate(zip(docs, near, strict=True)):
+        windows = np.cumsum(n)[: max(0, len(d) - window + 1)] > 0
+        kept = d
+        if windows.any():
+            if i not in full:
+                full[i] = run_hashes(WORDS.of(d), window)
+            windows[windows] = among(full[i][windows], known)
+            covered = _cover(windows, len(d), window)
+            kept = [w for w, x in zip(d, covered.tolist(), strict=True) if not x]
         out.append((len(d), len(d) - len(kept), b" ".join(kept).decode()))
     return out
 
 
+def _cover(windows: np.ndarray, n: int, window: int) -> np.ndarray:
+    """Which of n words lie in a marked window."""
+    change = np.zeros(n + 1, np.int64)
+    at = np.flatnonzero(windows)
+    change[at] += 1
+    change[at + window] -= 1
+    return np.cumsum(change)[:n] > 0
+
+
+def _stretches(marked: np.ndarray) -> Iterator[tuple[int, int]]:
+    edge = np.flatnonzero(np.diff(np.r_[False, marked, False].astype(np.int8)))
+    return zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)
+
+
 def remove_repeats(df: DataFrame, window: int = 50, anchor: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`id`, n_words, n_removed, kept (the words left, joined by one space) of every row.
 
@@ -256,6 +266,7 @@ def remove_repeats(df: DataFrame, window: int = 50, anchor: int = 8, id_col: str
 
     seen = docs.where(F.rand(7) < 1 / HOT_SAMPLE).select("text").mapInArrow(anchors, "anchor long").groupBy("anchor").count().where(F.col("count") >= HOT_SEEN)
     hot = seen.orderBy(F.desc("count")).limit(int(1 / HOT_SHARE)).toPandas()["anchor"].to_numpy().astype(np.uint64)
+    hot.sort()
     routed = docs.select("row", "text").mapInArrow(_route(window, anchor, hot), ROUTED)
     located = routed.repartition("key").sortWithinPartitions("key").mapInArrow(_confirm(window), "row long, start int, stop int")
     size = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
@@ -271,6 +282,9 @@ def remove_repeats(df: DataFrame, window: int = 50, anchor: int = 8, id_col: str
         return pa.table({"id": left.column("id"), "n_words": pa.array([x[0] for x in found], pa.int64()), "n_removed": pa.array([x[1] for x in found], pa.int64()), "kept": pa.array([x[2] for x in found], pa.string())})
 
     # a repeated row stands beside its equals in a bucket; more rows than that stay bounded by the size
-    both = docs.select(bucket, "row", "id", "text").groupBy("bucket").cogroup(located.select(bucket, "row", "start", "stop").groupBy("bucket"))
+    parts = min(buckets, MOST_PARTITIONS)  # given, so that small buckets aren't put into a few tasks
+    sides = (docs.select(bucket, "row", "id", "text"), located.select(bucket, "row", "start", "stop"))
+    left, right = (x.repartition(parts, "bucket").groupBy("bucket") for x in sides)
+    both = left.cogroup(right)
     out = both.applyInArrow(locate, f"id {id_type}, n_words long, n_removed long, kept string")
     return out.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept")

@@ -60,6 +60,19 @@ def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
             factor = factor * factor
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
+def among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are among the sorted ones."""
+    if not len(known):
+        return np.zeros(len(x), bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
 def split(text: str | None, lower: bool = False) -> list[bytes]:
     """Words between ASCII white space (space, tab to carriage return); null: none."""
     raw = (text or "").encode()
