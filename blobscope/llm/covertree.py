@@ -21,7 +21,7 @@ from .components import components
 from .scratch import materialize
 
 #: Vectors of the sample for the top net, vectors of a block (about), and of a leaf.
-SAMPLE, BLOCK, LEAF = 2048, 3072, 48
+SAMPLE, BLOCK, LEAF = 1024, 3072, 48
 #: Slack for rounding in distances; only what it decides is compared exactly.
 SLACK = 1e-6
 

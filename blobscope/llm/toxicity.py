@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .words import WORDS
+from .words import WORDS, distinct
 
 #: Labelled rows that a chain is fitted on at most (those with the smallest hashes of their ids); the
 #: driver holds their word hashes. Words chosen as features, and documents of the sample that must hold one.
@@ -152,7 +152,7 @@ def fit(sets: list[np.ndarray], labels: np.ndarray, categories: tuple[str, ...])
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sets = [np.unique(words(x.as_py())) for x in b.column(0)]
+        sets = [distinct(words(x.as_py())) for x in b.column(0)]
         ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
         flat = np.concatenate(sets).astype(np.int64) if sets else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), *(b.column(i) for i in range(1, b.num_columns))], ["words", *b.schema.names[1:]])
