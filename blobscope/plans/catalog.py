@@ -12,7 +12,7 @@ from .. import dims
 from ..functions import detect, dsp, geo, patterns, safety, stats
 from ..operators import udfs
 from ..sources import carriers as c
-from . import export, reports
+from . import convert, export, reports
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -509,6 +509,17 @@ def set_png_text_roundtrip(spark, sf):
     return d.select("o_orderkey", col("one")[0]["value"].alias("value"), F.size("one").alias("n_set"), F.size(udfs.png_texts(col("b"))["texts"]).alias("n_deleted"))
 
 
+@query("WITH p AS (SELECT event_id, list_element(['/a/b.png', '/a.b/c', 'x.tar.gz', '/a/.hidden'], CAST(event_id % 4 + 1 AS INT)) AS path FROM events) SELECT event_id, path, CASE WHEN event_id % 4 IN (0, 2) THEN regexp_replace(path, '\\.([^./]+)$', '.clean.\\1') ELSE path || '.clean' END AS output FROM p")
+def sanitize_paths(spark, sf):
+    p = F.element_at(F.array(*(F.lit(x) for x in ("/a/b.png", "/a.b/c", "x.tar.gz", "/a/.hidden"))), (col("event_id") % 4 + 1).cast("int"))
+    return table(spark, sf, "events").select("event_id", p.alias("path")).select("event_id", "path", convert.clean_path(col("path")).alias("output"))
+
+
+@query(f"{_JPEG} SELECT '/d/' || doc_id || '.jpg' AS path, '/d/' || doc_id || '.clean.jpg' AS output, CAST(61 + n AS BIGINT) AS original_size, CAST(57 AS BIGINT) AS sanitized_size, CAST(4 + n AS BIGINT) AS bytes_removed FROM s")
+def sanitize_report(spark, sf):
+    return convert.sanitize(jpeg_files(spark, sf)).select("path", "output", "original_size", "sanitized_size", "bytes_removed")
+
+
 # PCM: an embedding is 32 frames of two channels at 8000 Hz.
 
 

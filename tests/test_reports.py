@@ -104,3 +104,24 @@ def test_sql_functions(spark, folder):
     assert "error" in json.loads(sqlapi.scan_json(files.read_files(spark, folder, ["jpg"]).where("path like '%bad%'")).first()["json"])
     assert json.loads(sqlapi.audit_json(files.read_files(spark, folder, ["png"])).first()["json"])["container"] == "png"
     assert sqlapi.exif_text(files.read_files(spark, folder, ["png"])).first()["text"] == "No EXIF metadata found"
+
+
+def test_convert_sanitize_comment(spark, folder):
+    from blobscope.plans import convert
+
+    assert convert.parse_size("640x480") == (640, 480)
+    for bad in ("640", "1x2x3", "axb"):
+        with pytest.raises(ValueError):
+            convert.parse_size(bad)
+    png = spark.createDataFrame([("a.png", bytearray(PNG_PIXEL)), ("b.png", bytearray(PNG))], "path string, content binary")
+    done = {r["path"]: r for r in png.transform(convert.ImagePipeline().to("bmp").resize(3, 5).quality(90)).collect()}
+    assert codecs.decode_bmp(bytes(done["a.png"]["content"])).shape == (5, 3, 3) and done["b.png"]["error"] is not None
+    wav = spark.createDataFrame([("a.wav", bytearray(codecs.encode_wav([0.1, 0.3, 0.2, 0.4], 8000, 2)))], "path string, content binary")
+    out = codecs.decode_wav(bytes(wav.transform(convert.AudioPipeline().channels(1).gain(2.0).normalize()).first()["content"]))
+    assert out.channels == 1 and abs(out.samples.max() - 0.98) < 1e-3
+    clean = {r["path"].rpartition("/")[2]: r for r in convert.sanitize(files.read_files(spark, folder)).collect()}
+    assert clean["a.jpg"]["output"].endswith("/a.clean.jpg") and clean["a.jpg"]["bytes_removed"] == 24 and clean["bad.jpg"]["error"]["code"] == "CorruptedChunk" and clean["c.txt"]["bytes_removed"] == 0
+    kept = convert.set_comment(files.read_files(spark, folder), "hello")
+    assert {r["path"].rpartition("/")[2]: r["value"] for r in convert.comments(kept.where("error IS NULL")).collect()} == {"a.jpg": "hello", "b.PNG": "hello"}
+    assert kept.where("path like '%c.txt'").first()["error"]["code"] == "UnsupportedFormat"
+    assert convert.text_table(spark.createDataFrame([("\x1b[2Jx",)], "v string"), ["v"]).endswith("x") and convert.find_tool("no-such-tool") is None
