@@ -333,7 +333,8 @@ def mask_texts(df: DataFrame, text_col: str = "text", chars_col: str | None = "n
 def report(df: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (of all spans), base_sha256, spans as kind:start:end."""
     joined = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["stop"].cast("string"))), ",")
-    counts = [F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
+    counts = [count(k).alias(f"n_{k}") for k in KINDS]
     return spans(df).select("doc_id", *counts, F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 

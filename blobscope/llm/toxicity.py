@@ -24,6 +24,8 @@ from .words import WORDS, distinct
 #: Labelled rows that a chain is fitted on at most (those with the smallest hashes of their ids); the
 #: driver holds their word hashes. Words chosen as features, and documents of the sample that must hold one.
 TRAIN_ROWS, FEATURES, LEAST_DOCUMENTS, FOLDS, RIDGE = 6000, 1500, 4, 5, 2.0
+#: Chi-square (one degree of freedom, p = 0.001) below which a word tells nothing.
+LEAST_CHI_SQUARE = 10.83
 
 #: ASCII letters in lower case and digits stay, other ASCII parts words, bytes beyond stay.
 _TABLE = bytes((c | 32) if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -103,7 +105,7 @@ def _choose(sets: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
         best = np.maximum(best, np.divide((seen - count * p) ** 2, spread, out=np.zeros(len(found)), where=spread > 0))
     best[count < LEAST_DOCUMENTS] = 0
     order = np.lexsort((found, -best))[:FEATURES]
-    return np.sort(found[order[best[order] > 0]])
+    return np.sort(found[order[best[order] >= LEAST_CHI_SQUARE]])
 
 
 def matrix(sets: list[np.ndarray], features: np.ndarray) -> np.ndarray:
