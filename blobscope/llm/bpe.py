@@ -65,6 +65,7 @@ class Vocabulary:
         self.byte_of = {c: b for b, c in to_char.items()}
         vocab = model["vocab"]
         self.first = [vocab[to_char[b]] for b in range(256)]
+        self.first_table = np.array(self.first, np.int64)
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.size = max([*vocab.values(), *self.special.values()]) + 1
         self.width = 1 << max(1, (self.size - 1).bit_length())
@@ -86,7 +87,7 @@ class Vocabulary:
 
     def pieces(self, text: str) -> list[bytes]:
         """Pre-tokens of a text."""
-        if max(text, default="") <= _PLAIN:
+        if text.isascii() or max(text) <= _PLAIN:
             return [p.encode() for p in _PIECES.findall(text)]
         if self._splitter is None:
             from tokenizers import pre_tokenizers
@@ -94,19 +95,19 @@ class Vocabulary:
             self._splitter = pre_tokenizers.ByteLevel(add_prefix_space=False)
         return [bytes(self.byte_of[c] for c in p) for p, _ in self._splitter.pre_tokenize_str(text)]
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
-        """Token ids of each piece, by one pair-occurrence index over all of them."""
-        first, rank, width = self.first, self.rank, self.width
-        symbols: list[int] = []
-        ends: list[int] = []
-        for p in pieces:
-            symbols.extend([first[b] for b in p])
-            symbols.append(-1)  # no pair crosses it
-            ends.append(len(symbols) - 1)
-        n = len(symbols)
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Token ids of each piece as 32-bit bytes, by one pair-occurrence index over all of them."""
+        rank, width = self.rank, self.width
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        ends = np.cumsum(sizes + 1)  # a separator follows each piece; no pair crosses it
+        n = int(ends[-1]) if len(ends) else 0
         if n == 0:
-            return [[] for _ in pieces]
-        flat = np.array(symbols, np.int64)
+            return [b"" for _ in pieces]
+        flat = np.full(n, -1, np.int64)
+        inside = np.ones(n, bool)
+        inside[ends - 1] = False
+        flat[inside] = self.first_table[np.frombuffer(b"".join(pieces), np.uint8)]
+        symbols: list[int] = flat.tolist()
         keys = np.where((flat[:-1] >= 0) & (flat[1:] >= 0), flat[:-1] * width + flat[1:], -1)
         places: dict[int, list[int]] = {}
         if len(keys):
@@ -152,11 +153,11 @@ class Vocabulary:
                     else:
                         places[q] = [h]
                         heapq.heappush(active, q)
-        out, s = [], 0
-        for e in ends:
-            out.append([x for x in symbols[s:e] if x >= 0])
-            s = e + 1
-        return out
+        left_over = np.array(symbols)
+        kept = left_over >= 0
+        coded = left_over[kept].astype("<u4").tobytes()
+        stops = (4 * np.cumsum(kept)[ends - 1]).tolist()
+        return [coded[s:e] for s, e in zip([0, *stops[:-1]], stops, strict=True)]
 
     def decode(self, ids: Iterable[int]) -> str:
         table = self.bytes
@@ -176,9 +177,9 @@ class Encoder:
         v = self.vocabulary
         split = {k: v.pieces(lead + k) for k in keys}
         distinct = list({p for ps in split.values() for p in ps})
-        ids = dict(zip(distinct, (np.array(x, "<u4").tobytes() for x in v.encode_pieces(distinct)), strict=True))
+        ids = dict(zip(distinct, v.encode_pieces(distinct), strict=True))
         for k, ps in split.items():
-            memo[k] = b"".join([ids[p] for p in ps])
+            memo[k] = ids[ps[0]] if len(ps) == 1 else b"".join([ids[p] for p in ps])
 
     def ids(self, texts: list[str]) -> list[bytes]:
         special = self.special
