@@ -6,9 +6,11 @@ equal to their similarity. Bands of equal values make candidates, and every cand
 the full shingle sets.
 
 Documents with equal sets form one class, which is a single node from then on. Candidate pairs come in two
-steps. First each bucket links its smallest class with its other classes: as many pairs as members. Then
-only buckets whose classes are still in different components compare the classes across components, so a
-large group of near copies never meets itself pairwise, and no link that could join components is lost.
+steps. First each bucket links the class with the fewest shingles of its own with its other classes: as many
+pairs as members. Then only buckets whose classes are still in different components compare the classes
+across components. In both steps only pairs go on whose sets may share enough, by exact bounds: shingles that
+no other class has, and bits that only one of two sets has. So a large group of near copies never meets
+itself pairwise, and no link that could join components is lost.
 """
 
 from __future__ import annotations
@@ -19,17 +21,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
 from .components import components
 from .scratch import materialize
-from .words import WORDS, mix, run_hashes, split
+from .words import WORDS, distinct, mix, run_hashes, split
 
 #: Candidate texts are picked by a broadcast list of 64-bit keys up to this many (8 bytes each), and by a
 #: shuffled join beyond.
 BROADCAST_KEYS = 500_000
+#: Bits of the map that bounds what two sets share: 64 times this power of two.
+BITMAP_WORDS = 16
 
 
 @dataclass(frozen=True)
@@ -55,7 +59,7 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     words = split(text, lower=True)
     if not words:
         return np.zeros(0, np.uint64)
-    return np.unique(run_hashes(WORDS.of(words), min(k, len(words))))
+    return distinct(run_hashes(WORDS.of(words), min(k, len(words))))
 
 
 def band_keys(sets: list[np.ndarray], p: MinMax) -> np.ndarray:
@@ -96,7 +100,7 @@ def sign(df: DataFrame, p: MinMax, id_col: str = "doc_id", text_col: str = "text
 
 
 def full_sets(df: DataFrame, classes: DataFrame, wanted: DataFrame, p: MinMax, text_col: str = "text") -> DataFrame:
-    """node, shingles array<long> of the wanted nodes, from one text of each class."""
+    """node, shingles array<long> and bits of the wanted nodes, from one text of each class."""
     picked = materialize(classes.join(wanted, "node", "left_semi").select("node", "th"), "picked")
     if picked.count() <= BROADCAST_KEYS:
         picked = F.broadcast(picked)
@@ -116,9 +120,24 @@ def full_sets(df: DataFrame, classes: DataFrame, wanted: DataFrame, p: MinMax, t
                         sets.append(s)
             ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
             flat = np.concatenate(sets).astype(np.int64) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array([bitmap(s).tolist() for s in sets], pa.list_(pa.int64()))], ["node", "shingles", "bits"])
 
-    return materialize(source.mapInArrow(run, "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    return materialize(source.mapInArrow(run, "node long, shingles array<long>, bits array<long>").groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("bits").alias("bits")), "sets")
+
+
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """BITMAP_WORDS * 64 bits, those set at which a shingle falls."""
+    bits = np.zeros(BITMAP_WORDS * 64, np.uint8)
+    bits[(shingles >> np.uint64(64 - (BITMAP_WORDS * 64).bit_length() + 1)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
+def _may_link(p: MinMax) -> Column:
+    """Whether two classes (columns n, rest and bits of a and b) can reach the similarity: a bit that only
+    one of them sets stands for a shingle that the other hasn't."""
+    only = lambda x, y: sum((F.bit_count(F.get(f"bits_{x}", F.lit(i)).bitwiseAND(F.bitwise_not(F.get(f"bits_{y}", F.lit(i))))) for i in range(1, BITMAP_WORDS)), F.bit_count(F.get(f"bits_{x}", F.lit(0)).bitwiseAND(F.bitwise_not(F.get(f"bits_{y}", F.lit(0))))))
+    share = F.least("rest_a", "rest_b", F.col("n_a") - only("a", "b"), F.col("n_b") - only("b", "a"))
+    return share * p.denominator >= (F.col("n_a") + F.col("n_b") - share) * p.numerator
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, p: MinMax) -> DataFrame:
@@ -133,21 +152,30 @@ def labels(df: DataFrame, p: MinMax, id_col: str = "doc_id", text_col: str = "te
     signed = materialize(sign(df, p, id_col, text_col), "signed")
     classes = materialize(signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("first_id"), F.min("th").alias("th"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n")), "classes")
     members = classes.select("node", "n", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("pivot")).where("size > 1")
-    grouped = materialize(members.join(shared, "bucket"), "buckets")
-    # a set too small for the other can't reach the similarity
-    fits = lambda m, n: F.least(m, n) * p.denominator >= F.greatest(m, n) * p.numerator
-    first = grouped.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    shared = members.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1")
+    grouped = materialize(members.join(shared, "bucket").select("bucket", "node", "n"), "buckets")
     sets = full_sets(df, classes, grouped.select("node").distinct(), p, text_col)
+    # shingles that no other class has can't be shared: a class with too many of them has no partner, and
+    # two classes share at most the rest of either
+    alone = sets.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("k"), F.min("node").alias("node")).where("k = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    facts = sets.select("node", F.size("shingles").cast("long").alias("n"), "bits").join(alone, "node", "left").select("node", "n", "bits", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("rest"))
+    facts = materialize(facts.where(F.col("rest") * p.denominator >= F.col("n") * p.numerator), "facts")
+    # the class with the fewest shingles of its own is the likeliest to link with the others of its bucket
+    able = grouped.select("bucket", "node").join(facts.select("node", (F.col("rest") / F.col("n")).alias("common")), "node")
+    pivots = able.groupBy("bucket").agg(F.count("*").alias("size"), F.max(F.struct("common", "node")).alias("p")).where("size > 1").select("bucket", "size", F.col("p.node").alias("pivot"))
+    able = materialize(able.select("bucket", "node").join(pivots, "bucket"), "able")
+    first = able.where("node != pivot").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
+    side = lambda x: facts.select(*(F.col(c).alias(x if c == "node" else f"{c}_{x}") for c in ("node", "n", "rest", "bits")))
+    first = materialize(first.join(side("a"), "a").join(side("b"), "b").where(_may_link(p)).select("a", "b"), "first-pairs")
     links = materialize(confirm(first, sets, p), "confirmed")
     roots = components(links)
     # buckets of two are settled; of the others those that still hold several components
-    open_ = grouped.where("size > 2").select("bucket", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = able.where("size > 2").select("bucket", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = open_.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
-    open_ = materialize(open_.join(mixed, "bucket"), "open")
-    left, right = (open_.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "root"))) for s in "ab")
-    across = left.join(right, "bucket").where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & fits(F.col("n_a"), F.col("n_b")))
-    second = across.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    open_ = materialize(open_.join(mixed, "bucket").join(facts, "node"), "open")
+    left, right = (open_.select("bucket", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "n", "rest", "bits"))) for x in "ab")
+    across = left.join(right, "bucket").where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & _may_link(p))
+    second = across.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
     more = materialize(confirm(second, sets, p), "confirmed")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
