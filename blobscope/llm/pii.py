@@ -1,9 +1,8 @@
 """Personal data in whole texts, also where it is disguised, with spans of the source text.
 
-Base detectors read the text as it is. Where a text shows signs of disguise, transducers rewrite it in
-steps (look-alike characters, bracketed and spelled at/dot, spelled digits, letters for digits); each step
-carries for every character of its output the source characters it came from. The detectors then read the
-rewritten text, and what they find across a rewritten place is mapped back and added to the base spans.
+Base detectors read the text as it is. Then transducers rewrite every text in steps (look-alike characters,
+bracketed and spelled at/dot, spelled digits, letters for digits); each step carries for every character of
+its output the source characters it came from. The detectors then read a rewritten text, and what they find across a rewritten place is mapped back and added to the base spans.
 """
 
 from __future__ import annotations
@@ -76,15 +75,18 @@ class Mapped:
 
     def __init__(self, text: str):
         self.text = text
-        self.start = list(range(len(text)))
-        self.end = list(range(1, len(text) + 1))
-        self.changed = bytearray(len(text))
+        self.start: list[int] = []  # the three are filled by the first edit
+        self.end: list[int] = []
+        self.changed: bytearray | None = None
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
         """Replace ranges (in order, not overlapping) of the present text. Every character of a replacement
         stands for the whole range."""
         if not edits:
             return
+        if self.changed is None:
+            n = len(self.text)
+            self.start, self.end, self.changed = list(range(n)), list(range(1, n + 1)), bytearray(n)
         texts, start, end, changed, at = [], [], [], bytearray(), 0
         for s, e, new in edits:
             texts += [self.text[at:s], new]
@@ -158,11 +160,13 @@ _GAP = r"(?:[ \t]{1,3}|[ \t]?[_-]{1,2}[ \t]?)"
 _SAY_AT, _SAY_DOT = r"(?:at|arroba)", r"(?:dot|punkt|punto|point)"
 
 
-def _spelled(gap: str, more: str) -> re.Pattern[str]:
+def _spelled(gap: str, more: str) -> tuple[re.Pattern[str], re.Pattern[str]]:
+    """The pattern, and what each of its matches holds: from at to the first dot, which is quicker to look for."""
     dot = rf"{gap}{_SAY_DOT}{gap}"
     name = rf"[A-Za-z0-9][A-Za-z0-9.%+{more}]{{0,63}}(?:{dot}[A-Za-z0-9][A-Za-z0-9%+{more}]{{0,63}}){{0,3}}"
     label = rf"[A-Za-z0-9{more.replace('_', '')}]{{1,63}}"
-    return re.compile(rf"(?<![A-Za-z0-9._%+-])({name})({gap}{_SAY_AT}{gap}|[ \t]{{0,2}}@[ \t]{{0,2}})({label}(?:(?:{dot}|\.){label}){{1,5}})(?![A-Za-z0-9])", re.I)
+    whole = re.compile(rf"(?<![A-Za-z0-9._%+-])({name})({gap}{_SAY_AT}{gap}|[ \t]{{0,2}}@[ \t]{{0,2}})({label}(?:(?:{dot}|\.){label}){{1,5}})(?![A-Za-z0-9])", re.I)
+    return whole, re.compile(rf"(?:(?<=[ \t_-]){_SAY_AT}{gap}|@[ \t]{{0,2}}){label}(?:{dot}|\.){label}", re.I)
 
 
 _SPELLED = (_spelled(r"[ \t]{1,3}", "_-"), _spelled(r"[ \t]?[_-]{1,2}[ \t]?", ""))
@@ -175,7 +179,9 @@ TOPS = frozenset("com org net edu gov io co info biz de fr es uk eu us ch at".sp
 def _at_and_dot(m: Mapped) -> None:
     for pattern, new in ((_ENTITY_AT, "@"), (_ENTITY_DOT, "."), (_BRACKET_AT, "@"), (_BRACKET_DOT, ".")):
         m.rewrite([(x.start(), x.end(), new) for x in pattern.finditer(m.text)])
-    for pattern in _SPELLED:
+    for pattern, core in _SPELLED:
+        if not core.search(m.text):
+            continue
         edits = []
         for x in pattern.finditer(m.text):
             before, after = ([(x.start(g) + d.start(), x.start(g) + d.end(), ".") for d in _SPELLED_DOT.finditer(x[g])] for g in (1, 3))
@@ -195,19 +201,26 @@ DIGITS = {
     **dict(zip("cero uno dos tres cuatro cinco seis siete ocho nueve".split(), "0123456789", strict=True)),
     **{"oh": "0", "ein": "1", "zwo": "2", "une": "1"},
 }
-_NAME = "(?:" + "|".join(sorted(DIGITS, key=len, reverse=True)) + ")"
+_BY_LETTER = {c: sorted((n[1:] for n in DIGITS if n[0] == c), key=len, reverse=True) for c in sorted({n[0] for n in DIGITS})}
+_NAME = "(?:" + "|".join(f"{c}(?:{'|'.join(x)})" for c, x in _BY_LETTER.items()) + ")"
 _TIMES = r"(?:(?:double|doppel|triple)[ \t-]{1,2})?"
-#: At least three names in a row, with separators and figures between them.
-_RUN = re.compile(rf"(?<![^\W\d_])(?:(?:plus|\+)[ \t]{{0,2}})?(?:[0-9]+[ \t().-]{{1,3}})*{_TIMES}{_NAME}(?:[ \t,().-]{{1,3}}(?:(?:dot|punkt|punto|point)[ \t]{{1,2}})?(?:{_TIMES}{_NAME}|[0-9]+)(?![^\W\d_])){{2,}}", re.I)
-_PART = re.compile(rf"(?P<times>double|doppel|triple)|(?P<name>{_NAME}(?![^\W_]))|(?P<plus>plus(?![^\W_]))|(?P<dot>dot|punkt|punto|point)|(?P<figure>[0-9]+)|(?P<gap>[ \t,().-]+)|(?P<rest>.)", re.I)
+_ITEM = rf"(?:(?<![^\W\d_]){_TIMES}{_NAME}(?![^\W\d_])|[0-9]++)"
+#: Names and figures in a row, with separators between them; one pass, as no run starts within another.
+_RUN = re.compile(rf"(?:(?<![^\W\d_])|(?=[0-9+]))(?:(?:\+|(?<![^\W\d_])plus)[ \t]{{0,2}}+)?{_ITEM}(?:[ \t,().-]{{0,3}}+(?:(?:dot|punkt|punto|point)[ \t]{{1,2}})?{_ITEM})*+", re.I)
+_PART = re.compile(rf"(?P<times>double|doppel|triple)|(?P<name>{_NAME}(?![^\W\d_]))|(?P<plus>plus(?![^\W_]))|(?P<dot>dot|punkt|punto|point)|(?P<figure>[0-9]+)|(?P<gap>[ \t,().-]+)|(?P<rest>.)", re.I)
 
 
 def _spelled_digits(m: Mapped) -> None:
     edits = []
     for run in _RUN.finditer(m.text):
+        if run[0].lower() == run[0].upper():  # figures alone
+            continue
         parts = [(p.lastgroup, p.start() + run.start(), p.end() + run.start(), p[0]) for p in _PART.finditer(run[0])]
-        if sum(k == "name" for k, *_ in parts) < 3:
+        named = [i for i, p in enumerate(parts) if p[0] == "name"]
+        if len(named) < 3:
             continue
+        commas = [i for i, p in enumerate(parts[: named[0]]) if "," in p[3]]
+        parts = parts[commas[-1] + 1 if commas else 0 :]  # a list before the first name is no part of the number
         times = 1
         for i, (kind, s, e, x) in enumerate(parts):
             new = x
@@ -240,28 +253,17 @@ def _letters_for_digits(m: Mapped) -> None:
 
 
 TRANSDUCERS: tuple[Callable[[Mapped], None], ...] = (_characters, _at_and_dot, _spelled_digits, _letters_for_digits)
-_SIGNS = ("dot", "punkt", "punto", "point", "[at", "(at", "{at", "<at", "[ at", "( at", "{ at", "< at", "&#", "commat", "%40", "[@", "(@", "{@", "<@", "@ ", " @", "arroba", "[.", "(.", "{.", "<.", "plus ")
-_NAMES = tuple(f" {n}" for n in DIGITS)
-
-
-def disguised(text: str) -> bool:
-    """Cheap signs that a text may hold a disguise; without any, the transducers would change nothing that
-    the detectors read."""
-    if not text.isascii() and _ODD.search(text):
-        return True
-    low = text.lower()
-    return any(s in low for s in _SIGNS) or sum(n in low for n in _NAMES) > 0 and bool(_RUN.search(text)) or bool(re.search(r"(?<=[0-9])[ -]?[OoIl|]", text) and _LETTERS.search(text)) or bool(" at " in low and re.search(r"[0-9._][a-z0-9._-]* at [a-z0-9.-]+\.[a-z]{2,4}\b", low))
 
 
 def find(text: str) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans in the same order. A span found behind a disguise is added unless a base
     span of its kind holds it already."""
     base = detect(text)
-    if not disguised(text):
-        return base, base
     m = Mapped(text)
     for step in TRANSDUCERS:
         step(m)
+    if m.changed is None:
+        return base, base
     added = []
     for kind, s, e in detect(m.text):
         if m.touched(s, e):

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -126,6 +127,27 @@ def test_disguises(text, kind, span):
     assert (kind, text.index(span) + 5, text.index(span) + 5 + len(span)) in found
 
 
+#: ASCII texts (but for ä) without any other sign of a disguise.
+NO_SIGNS = [
+    *[f"{name}{gap}at{gap}gmail.com" for name, gaps in (("max.muster", ("_", "-", " ", "  ", "\t", "   ")), ("max2", ("_", " \t"))) for gap in gaps],
+    *[f"john{a}{at}{b}example.com" for at in ("at", "arroba", "chez", "ät", "@") for a, b in (("(", ")"), ("[ ", " ]"), ("{  ", "  }"), ("<\t", "\t>"), ("  [   ", "   ] "))],
+    *[f"john@example{a}{dot}{b}com" for dot in ("dot", "dt", "punkt", "punto", "point", ".") for a, b in (("(", ")"), ("[  ", "  ]"), (" {\t", "} "))],
+    "a.b&commat;example.com", "a.b&#64;example.com", "a.b%40example.com", "john@example&period;com",
+]
+
+
+@pytest.mark.parametrize("text", NO_SIGNS)
+def test_disguises_without_other_signs(text):
+    assert pii.find(f"Write {text}, please")[1] == [("email", 6, 6 + len(text))]
+
+
+def test_long_texts_stay_linear():
+    for unit in ("1", "1 ", "1, ", "one ", "1 one ", "a.", "a-", "a at ", "a dot ", "1O", "double ", "@"):
+        begun = time.process_time()
+        pii.find(unit * (200_000 // len(unit)))
+        assert time.process_time() - begun < 20, unit
+
+
 def test_prose_stays_clean():
     for t in ("look at example.com", "meet me at the dot. com on", "one two three", "bob at thnd. of the", "section 1.2.3 at 5", "un deux trois", "plus one"):
         assert pii.find(t) == ([], []), t
