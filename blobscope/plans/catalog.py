@@ -29,6 +29,16 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def whole(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Registers the query over whole texts as well, as `NAME_whole` without SQL; the SQL of `NAME` fixes its prefix."""
+    QUERIES[f"{f.__name__}_whole"] = lambda spark, sf: f(spark, sf, whole=True)
+    return f
+
+
+def prefix(n: Column | int, whole: bool) -> Column:
+    return col("text") if whole else F.substring("text", 1, n) if isinstance(n, int) else F.substring(col("text"), F.lit(1), n)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -102,9 +112,10 @@ def ascii_ratio(spark, sf):
 _COMMENT = "WITH t AS (SELECT doc_id, substr(text, 1, 240) || repeat(chr(1), CAST(doc_id % 90 AS INT)) AS t FROM documents), s AS (SELECT doc_id, octet_length(encode(t)) AS n, length(regexp_replace(t, '[^ -~\\t-\\r]', '', 'g')) AS good FROM t)"
 
 
+@whole
 @query(f"{_COMMENT} SELECT doc_id, CAST(n AS BIGINT) AS size, n > 256 AS large, (n - good) / n > 0.15 AS unprintable FROM s")
-def comment_findings(spark, sf):
-    text = F.concat(F.substring("text", 1, 240), F.expr("repeat(char(1), cast(doc_id % 90 as int))"))
+def comment_findings(spark, sf, whole=False):
+    text = F.concat(prefix(240, whole), F.expr("repeat(char(1), cast(doc_id % 90 as int))"))
     d = table(spark, sf, "documents").select("doc_id", c.utf8(text).alias("b")).select("doc_id", F.octet_length("b").cast("long").alias("size"), stats.byte_histogram(col("b")).alias("hist"))
     found = d.withColumn("f", stats.comment_findings(col("size"), stats.non_printable_ratio(col("hist"))))
     return found.select("doc_id", "size", F.exists("f", lambda x: x["severity"] == "Low").alias("large"), F.exists("f", lambda x: x["severity"] == "Medium").alias("unprintable"))
@@ -128,8 +139,8 @@ def scan_findings(spark, sf):
 # Overlays and signatures.
 
 
-def overlay_carrier(spark: SparkSession, sf: str) -> DataFrame:
-    tail = F.expr("substring(text, 1, cast(doc_id % 50 as int))")
+def overlay_carrier(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    tail = prefix((col("doc_id") % 50).cast("int"), whole)
     small = F.lit(16)
     made = (
         F.when(col("doc_id") % 3 == 0, c.jpeg(c.app0(), c.sof0(small, small), scan=c.raw(b"scan")))
@@ -143,15 +154,17 @@ def overlay_carrier(spark: SparkSession, sf: str) -> DataFrame:
 _OVERLAY = "WITH s AS (SELECT doc_id, octet_length(encode(substr(text, 1, CAST(doc_id % 50 AS INT)))) AS extra, CASE doc_id % 3 WHEN 0 THEN 51 WHEN 1 THEN 45 ELSE 23 END AS base FROM documents)"
 
 
+@whole
 @query(f"{_OVERLAY} SELECT doc_id, CAST(base AS BIGINT) AS logical_size, CAST(base + extra AS BIGINT) AS physical_size, CAST(extra AS BIGINT) AS overlay_size, extra > 0 AS has_overlay FROM s")
-def overlay_detect(spark, sf):
-    p = reports.parsed(overlay_carrier(spark, sf)).select("doc_id", stats.overlay(col("p.end"), col("size")).alias("o"))
+def overlay_detect(spark, sf, whole=False):
+    p = reports.parsed(overlay_carrier(spark, sf, whole)).select("doc_id", stats.overlay(col("p.end"), col("size")).alias("o"))
     return p.select("doc_id", "o.logical_size", "o.physical_size", col("o.overlay_size").cast("long").alias("overlay_size"), "o.has_overlay")
 
 
+@whole
 @query(f"{_OVERLAY} SELECT doc_id, CAST(CASE WHEN doc_id % 3 = 2 THEN base + extra ELSE base END AS BIGINT) AS kept FROM s")
-def overlay_truncate(spark, sf):
-    return overlay_carrier(spark, sf).select("doc_id", F.octet_length(udfs.cut_overlay(col("content"))["content"]).cast("long").alias("kept"))
+def overlay_truncate(spark, sf, whole=False):
+    return overlay_carrier(spark, sf, whole).select("doc_id", F.octet_length(udfs.cut_overlay(col("content"))["content"]).cast("long").alias("kept"))
 
 
 def signature_carrier(spark: SparkSession, sf: str) -> DataFrame:
@@ -232,7 +245,7 @@ def _prefixed(spark: SparkSession, sf: str) -> DataFrame:
     head = F.when(k == 0, c.raw(PREFIXES[0][0]))
     for i, p in enumerate(PREFIXES[1:], 1):
         head = head.when(k == i, c.raw(p[0]))
-    return table(spark, sf, "documents").select("doc_id", F.concat(head, c.utf8(F.substring("text", 1, 100))).alias("content"))
+    return table(spark, sf, "documents").select("doc_id", F.concat(head, c.utf8(col("text"))).alias("content"))
 
 
 def _values(at: int) -> str:
@@ -284,14 +297,15 @@ def jpeg_marker_status(spark, sf):
 _PREFIXED_TEXT = "list_element(['=', ' +', '-', '@', 'a', '', chr(9) || '='], CAST(doc_id % 7 + 1 AS INT)) || substr(text, 1, 60)"
 
 
-def _formula(spark: SparkSession, sf: str) -> DataFrame:
+def _formula(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
     p = F.element_at(F.array(*(F.lit(x) for x in ("=", " +", "-", "@", "a", "", "\t="))), (col("doc_id") % 7 + 1).cast("int"))
-    return table(spark, sf, "documents").select("doc_id", F.concat(p, F.substring("text", 1, 60)).alias("t"))
+    return table(spark, sf, "documents").select("doc_id", F.concat(p, prefix(60, whole)).alias("t"))
 
 
+@whole
 @query(f"SELECT doc_id, regexp_matches({_PREFIXED_TEXT}, '^\\s*[=+@-]') AS formula, CASE WHEN regexp_matches({_PREFIXED_TEXT}, '^\\s*[=+@-]') THEN '''' ELSE '' END || {_PREFIXED_TEXT} AS escaped FROM documents")
-def formula_escape(spark, sf):
-    return _formula(spark, sf).select("doc_id", safety.is_formula(col("t")).alias("formula"), safety.escape_formula(col("t")).alias("escaped"))
+def formula_escape(spark, sf, whole=False):
+    return _formula(spark, sf, whole).select("doc_id", safety.is_formula(col("t")).alias("formula"), safety.escape_formula(col("t")).alias("escaped"))
 
 
 @query("SELECT conv_id, turn, text || '-end' AS scrubbed FROM conversations")
@@ -361,27 +375,33 @@ def tag_lookup(spark, sf):
 # Containers.
 
 
-def jpeg_files(spark: SparkSession, sf: str) -> DataFrame:
-    """SOI, APP0, a comment, SOF0, a scan, EOI from documents."""
-    comment = c.utf8(F.trim(F.regexp_replace(F.substring("text", 1, 200), "\\s+", " ")))
-    made = c.jpeg(c.app0(), c.jpeg_segment(0xFE, comment), c.sof0(col("doc_id") % 4000 + 1, col("n_chars") % 3000 + 1), scan=c.raw(b"0123456789"))
+def jpeg_files(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    """SOI, APP0, a comment (in as many segments as it takes), SOF0, a scan, EOI from documents."""
+    comment = F.trim(F.regexp_replace(prefix(200, whole), "\\s+", " "))
+    made = c.jpeg(c.app0(), c.jpeg_comment(comment), c.sof0(col("doc_id") % 4000 + 1, col("n_chars") % 3000 + 1), scan=c.raw(b"0123456789"))
     return table(spark, sf, "documents").select("doc_id", F.concat(F.lit("/d/"), col("doc_id").cast("string"), F.lit(".jpg")).alias("path"), made.alias("content"))
 
 
 _JPEG = "WITH t AS (SELECT doc_id, n_chars, trim(regexp_replace(substr(text, 1, 200), '\\s+', ' ', 'g')) AS t FROM documents), s AS (SELECT *, octet_length(encode(t)) AS n FROM t)"
 
 
+@whole
 @query(f"""{_JPEG} SELECT doc_id, CAST(pos AS INT) AS pos, name, CAST("offset" AS BIGINT) AS "offset", CAST(length AS BIGINT) AS length FROM (
 SELECT doc_id, unnest([0, 1, 2, 3, 4]) AS pos, unnest(['APP0 (JFIF / JFXX)', 'COM (Comment)', 'SOF0 (Baseline DCT)', 'SOS (Start of Scan)', 'EOI (End of Image)']) AS name,
 unnest([2, 20, 24 + n, 43 + n, 59 + n]) AS "offset", unnest([18, n + 4, 19, 6, 2]) AS length FROM s)""")
-def jpeg_segments(spark, sf):
-    p = reports.parsed(jpeg_files(spark, sf))
+def jpeg_segments(spark, sf, whole=False):
+    p = reports.parsed(jpeg_files(spark, sf, whole))
     return p.select("doc_id", F.posexplode("p.parts").alias("pos", "x")).select("doc_id", "pos", "x.name", "x.offset", "x.length")
 
 
+@whole
 @query(f"{_JPEG} SELECT doc_id, doc_id % 4000 + 1 AS width, n_chars % 3000 + 1 AS height, CAST(8 AS INT) AS bit_depth, CAST(3 AS INT) AS channels, t AS comment FROM s")
-def jpeg_dims(spark, sf):
-    return reports.parsed(jpeg_files(spark, sf)).select("doc_id", "p.width", "p.height", "p.bit_depth", "p.channels", "p.comment")
+def jpeg_dims(spark, sf, whole=False):
+    files = jpeg_files(spark, sf, whole)
+    if not whole:
+        return reports.parsed(files).select("doc_id", "p.width", "p.height", "p.bit_depth", "p.channels", "p.comment")
+    d = reports.parsed(files.withColumn("comments", udfs.jpeg_comments(col("content"))["comments"]))  # the walk keeps the last segment's
+    return d.select("doc_id", "p.width", "p.height", "p.bit_depth", "p.channels", F.array_join("comments", "").alias("comment"))
 
 
 def png_files(spark: SparkSession, sf: str) -> DataFrame:
@@ -429,22 +449,24 @@ def webp_chunks(spark, sf):
     return p.select("l_orderkey", F.posexplode("p.parts").alias("pos", "x"), "p.width", "p.height", "p.xmp").select("l_orderkey", "pos", "x.name", "x.offset", "x.length", "width", "height", "xmp")
 
 
-def gif_files(spark: SparkSession, sf: str) -> DataFrame:
-    made = c.gif(col("item_id") + 1, col("item_id") + 2, c.gif_comment(c.utf8(F.substring("text", 1, 400))), c.gif_comment(c.utf8(F.lit("second"))))
+def gif_files(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    made = c.gif(col("item_id") + 1, col("item_id") + 2, c.gif_comment(c.utf8(prefix(400, whole))), c.gif_comment(c.utf8(F.lit("second"))))
     return table(spark, sf, "benchmark").select("item_id", F.lit("a.gif").alias("path"), made.alias("content"))
 
 
+@whole
 @query("""WITH s AS (SELECT item_id, octet_length(encode(substr(text, 1, 400))) AS n FROM benchmark), t AS (SELECT item_id, 3 + n + (n + 254) // 255 AS k FROM s)
 SELECT item_id, CAST(pos AS INT) AS pos, name, CAST("offset" AS BIGINT) AS "offset", CAST(length AS BIGINT) AS length FROM (
 SELECT item_id, unnest([0, 1, 2]) AS pos, unnest(['Comment Extension', 'Comment Extension', 'Trailer']) AS name, unnest([13, 13 + k, 23 + k]) AS "offset", unnest([k, 10, 1]) AS length FROM t)""")
-def gif_blocks(spark, sf):
-    p = reports.parsed(gif_files(spark, sf))
+def gif_blocks(spark, sf, whole=False):
+    p = reports.parsed(gif_files(spark, sf, whole))
     return p.select("item_id", F.posexplode("p.parts").alias("pos", "x")).select("item_id", "pos", "x.name", "x.offset", "x.length")
 
 
+@whole
 @query("SELECT item_id, substr(text, 1, 400) || '; second' AS comment, item_id + 1 AS width, item_id + 2 AS height FROM benchmark")
-def gif_comments(spark, sf):
-    return reports.parsed(gif_files(spark, sf)).select("item_id", "p.comment", "p.width", "p.height")
+def gif_comments(spark, sf, whole=False):
+    return reports.parsed(gif_files(spark, sf, whole)).select("item_id", "p.comment", "p.width", "p.height")
 
 
 def heic_files(spark: SparkSession, sf: str) -> DataFrame:
@@ -463,11 +485,12 @@ def heic_dims(spark, sf):
     return reports.parsed(heic_files(spark, sf)).select("p_partkey", "p.width", "p.height")
 
 
+@whole
 @query(f"""{_JPEG}, x AS (SELECT doc_id, n_chars, t, 61 + n AS size FROM s) SELECT '/d/' || doc_id || '.jpg' AS path, CAST(pos AS INT) AS pos, category, key, value FROM (
 SELECT doc_id, unnest([0, 1, 2, 3, 4]) AS pos, unnest(['Forensics', 'Forensics', 'Tiff', 'Tiff', 'Text']) AS category, unnest(['Container', 'FileSize', 'ImageWidth', 'ImageHeight', 'JPEGComment']) AS key,
 unnest(['JPEG Image Container', size || ' bytes (' || printf('%.2f', size / 1024) || ' KB)', (doc_id % 4000 + 1) || ' px', (n_chars % 3000 + 1) || ' px', t]) AS value FROM x)""")
-def scan_long(spark, sf):
-    return reports.scan(jpeg_files(spark, sf)).select("path", "pos", "category", "key", "value")
+def scan_long(spark, sf, whole=False):
+    return reports.scan(jpeg_files(spark, sf, whole)).select("path", "pos", "category", "key", "value")
 
 
 @query("""WITH s AS (SELECT o_orderkey, octet_length(encode(o_orderpriority)) AS n FROM orders) SELECT '/o/' || o_orderkey || '.png' AS path, CAST(2 AS INT) AS pos,
@@ -477,25 +500,27 @@ def structure_dump(spark, sf):
     return d.select("path", "pos", F.regexp_extract("line", r"^(.* CRC: )0x", 1).alias("head"), F.regexp_extract("line", r"(\([^)]*\))$", 1).alias("tail"))
 
 
+@whole
 @query(f"""{_OVERLAY} SELECT '/d/' || doc_id || '.' || list_element(['jpg', 'png', 'gif'], CAST(doc_id % 3 + 1 AS INT)) AS path, list_element(['jpeg', 'png', 'gif'], CAST(doc_id % 3 + 1 AS INT)) AS container,
 CAST(base + extra AS BIGINT) AS size, 'NORMAL' AS entropy_verdict, CASE WHEN extra > 0 THEN 'DETECTED (+' || extra || ' bytes)' ELSE 'CLEAN (0 bytes)' END AS overlay_verdict,
 CASE WHEN extra > 0 THEN 'ALERT: 1 Found' ELSE 'CLEAN (None Detected)' END AS payload_verdict, CASE WHEN doc_id % 3 = 0 THEN 'CLEAN (Chi-Square Verified)' END AS stego_verdict FROM s""")
-def audit_report(spark, sf):
-    return reports.audit(overlay_carrier(spark, sf)).select("path", "container", "size", "entropy_verdict", "overlay_verdict", "payload_verdict", "stego_verdict")
+def audit_report(spark, sf, whole=False):
+    return reports.audit(overlay_carrier(spark, sf, whole)).select("path", "container", "size", "entropy_verdict", "overlay_verdict", "payload_verdict", "stego_verdict")
 
 
 # Rewrites.
 
 
+@whole
 @query(f"{_JPEG} SELECT doc_id, CAST(61 + n AS BIGINT) AS original, CAST(57 AS BIGINT) AS scrubbed, CAST(4 + n AS BIGINT) AS removed FROM s")
-def scrub_report(spark, sf):
-    d = jpeg_files(spark, sf).select("doc_id", F.octet_length("content").cast("long").alias("original"), F.octet_length(udfs.scrub(col("content"))["content"]).cast("long").alias("scrubbed"))
+def scrub_report(spark, sf, whole=False):
+    d = jpeg_files(spark, sf, whole).select("doc_id", F.octet_length("content").cast("long").alias("original"), F.octet_length(udfs.scrub(col("content"))["content"]).cast("long").alias("scrubbed"))
     return d.select("*", (col("original") - col("scrubbed")).alias("removed"))
 
 
 @query("SELECT doc_id, 'note ' || doc_id AS comment, CAST(1 AS INT) AS n_set, CAST(0 AS INT) AS n_deleted FROM documents")
 def set_comment_roundtrip(spark, sf):
-    d = jpeg_files(spark, sf).select("doc_id", udfs.set_jpeg_comment(col("content"), F.concat(F.lit("note "), col("doc_id").cast("string")))["content"].alias("a"))
+    d = jpeg_files(spark, sf, True).select("doc_id", udfs.set_jpeg_comment(col("content"), F.concat(F.lit("note "), col("doc_id").cast("string")))["content"].alias("a"))
     d = d.select("doc_id", udfs.jpeg_comments(col("a"))["comments"].alias("one"), udfs.set_jpeg_comment(col("a"), F.lit(""))["content"].alias("b"))
     return d.select("doc_id", col("one")[0].alias("comment"), F.size("one").alias("n_set"), F.size(udfs.jpeg_comments(col("b"))["comments"]).alias("n_deleted"))
 
@@ -515,9 +540,10 @@ def sanitize_paths(spark, sf):
     return table(spark, sf, "events").select("event_id", p.alias("path")).select("event_id", "path", convert.clean_path(col("path")).alias("output"))
 
 
+@whole
 @query(f"{_JPEG} SELECT '/d/' || doc_id || '.jpg' AS path, '/d/' || doc_id || '.clean.jpg' AS output, CAST(61 + n AS BIGINT) AS original_size, CAST(57 AS BIGINT) AS sanitized_size, CAST(4 + n AS BIGINT) AS bytes_removed FROM s")
-def sanitize_report(spark, sf):
-    return convert.sanitize(jpeg_files(spark, sf)).select("path", "output", "original_size", "sanitized_size", "bytes_removed")
+def sanitize_report(spark, sf, whole=False):
+    return convert.sanitize(jpeg_files(spark, sf, whole)).select("path", "output", "original_size", "sanitized_size", "bytes_removed")
 
 
 # PCM: an embedding is 32 frames of two channels at 8000 Hz.
@@ -694,9 +720,10 @@ def capability_matrix(spark, sf):
     return m.select("source", "target", reports.capability(col("source"), col("target")).alias("supported"))
 
 
+@whole
 @query(f"""WITH t AS (SELECT '/f/' || doc_id AS file, {_PREFIXED_TEXT} AS t FROM documents) SELECT file, 'TEXT' AS category, '0x010E' AS tag_id, 'k' AS key, 'n' AS name, CASE WHEN regexp_matches(t, '^\\s*[=+@-]') THEN '''' ELSE '' END || t AS value FROM t""")
-def export_csv_rows(spark, sf):
-    rows = _formula(spark, sf).select(F.concat(F.lit("/f/"), col("doc_id").cast("string")).alias("path"), F.lit("Text").alias("category"), F.lit(0x010E).alias("tag_id"), F.lit("k").alias("key"), F.lit("n").alias("name"), col("t").alias("value"))
+def export_csv_rows(spark, sf, whole=False):
+    rows = _formula(spark, sf, whole).select(F.concat(F.lit("/f/"), col("doc_id").cast("string")).alias("path"), F.lit("Text").alias("category"), F.lit(0x010E).alias("tag_id"), F.lit("k").alias("key"), F.lit("n").alias("name"), col("t").alias("value"))
     return export.csv_rows(rows)
 
 

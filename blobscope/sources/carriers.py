@@ -30,6 +30,13 @@ def jpeg_segment(marker: int, body: Column) -> Column:
     return F.concat(raw(bytes([0xFF, marker])), be(F.octet_length(body) + 2, 2), body)
 
 
+def jpeg_comment(text: Column) -> Column:
+    """One comment segment, or as many as it takes where 65,533 bytes don't hold the text; none cuts a character."""
+    step = F.when(F.octet_length(text) <= 65533, 65533).otherwise(16383)
+    at = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), step)
+    return F.aggregate(at, raw(b""), lambda made, i: F.concat(made, jpeg_segment(0xFE, utf8(F.substring(text, i + 1, step)))))
+
+
 def jpeg(*segments: Column, scan: Column | None = None, overlay: Column | None = None) -> Column:
     """SOI, segments, a scan and EOI, and what follows."""
     parts = [raw(b"\xff\xd8"), *segments, raw(b"\xff\xda\x00\x04\x01\x00") if scan is not None else raw(b""), scan if scan is not None else raw(b""), raw(b"\xff\xd9")]
@@ -69,10 +76,12 @@ def gif(width: Column, height: Column, *blocks: Column) -> Column:
 
 
 def gif_comment(body: Column) -> Column:
-    """A comment extension in sub-blocks of at most 255 bytes (255 * 8 bytes in all)."""
-    n = F.octet_length(body)
-    blocks = [F.when(n > 255 * i, F.concat(be(F.least(F.lit(255), n - 255 * i), 1), F.substring(body, 255 * i + 1, 255))).otherwise(raw(b"")) for i in range(8)]
-    return F.concat(raw(b"!\xfe"), *blocks, raw(b"\0"))
+    """A comment extension in as many sub-blocks of at most 255 bytes as it takes."""
+    n, digits = F.octet_length(body), F.hex(body)
+    full = F.floor(n / 255).cast("int") * 255
+    rest = F.when(n > full, F.concat(be(n - full, 1), F.unhex(F.substring(digits, 2 * full + 1, F.lit(510))))).otherwise(raw(b""))
+    blocks = F.unhex(F.regexp_replace(F.substring(digits, F.lit(1), 2 * full), "(.{510})", "FF$1"))
+    return F.concat(raw(b"!\xfe"), blocks, rest, raw(b"\0"))
 
 
 def webp(*chunks: Column) -> Column:

@@ -125,3 +125,51 @@ def test_convert_sanitize_comment(spark, folder):
     assert {r["path"].rpartition("/")[2]: r["value"] for r in convert.comments(kept.where("error IS NULL")).collect()} == {"a.jpg": "hello", "b.PNG": "hello"}
     assert kept.where("path like '%c.txt'").first()["error"]["code"] == "UnsupportedFormat"
     assert convert.text_table(spark.createDataFrame([("\x1b[2Jx",)], "v string"), ["v"]).endswith("x") and convert.find_tool("no-such-tool") is None
+
+
+@pytest.fixture(scope="module")
+def long_texts(spark, tmp_path_factory):
+    """Documents and passages far longer than any prefix; what tells them apart comes late."""
+    d = str(tmp_path_factory.mktemp("long"))
+    end = "<script>alert(1)</script>"
+    docs = [(1, "a" * 300), (2, "b é " * 200 + "\x01" * 400), (3, "x " * 50_000 + end), (4, "日本" * 15_000), (50, "late " * 30 + end), (51, "c " * 500 + end), (52, " =1 " * 99)]
+    spark.createDataFrame([(i, t, len(t)) for i, t in docs], "doc_id long, text string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    items = [(0, "short"), (1, "y" * 255), (2, "z é" * 300), (3, "w" * 100_000), (4, "")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    return d, dict(docs), dict(items)
+
+
+def test_whole_texts(spark, long_texts):
+    d, docs, items = long_texts
+    run = lambda name, **k: [r.asDict() for r in catalog.QUERIES[name](spark, d).collect()]
+    size = {i: len(t.encode()) for i, t in docs.items()}
+    for r in run("comment_findings_whole"):
+        b = (docs[r["doc_id"]] + "\x01" * (r["doc_id"] % 90)).encode()
+        assert (r["size"], r["large"], r["unprintable"]) == (len(b), len(b) > 256, sum(not (32 <= x <= 126 or 9 <= x <= 13) for x in b) / len(b) > 0.15)
+    base = (51, 45, 23)
+    for r in run("overlay_detect_whole"):
+        i = r["doc_id"]
+        assert (r["logical_size"], r["overlay_size"], r["has_overlay"]) == (base[i % 3], size[i], True)
+    assert {r["doc_id"]: r["kept"] for r in run("overlay_truncate_whole")} == {i: base[i % 3] + (size[i] if i % 3 == 2 else 0) for i in docs}
+    audit = {int(r["path"][3:].partition(".")[0]): r for r in run("audit_report_whole")}
+    assert all(audit[i]["overlay_verdict"] == f"DETECTED (+{n} bytes)" and audit[i]["size"] == n + base[i % 3] for i, n in size.items())
+    assert {i for i, r in audit.items() if r["payload_verdict"] == "ALERT: 2 Found"} == {3, 50, 51}
+    comment = {i: " ".join(x for x in t.replace("\n", " ").split(" ") if x) for i, t in docs.items()}
+    n = {i: len(t.encode()) for i, t in comment.items()}
+    parts = {i: 1 if n[i] <= 65533 else -(-len(t) // 16383) for i, t in comment.items()}
+    assert max(parts.values()) > 1
+    for name in ("scrub_report_whole", "sanitize_report_whole"):
+        for r in run(name):
+            i = r["doc_id"] if "doc_id" in r else int(r["path"][3:-4])
+            assert {n[i] + 4 * parts[i], n[i] + 57 + 4 * parts[i]} <= set(r.values())
+    coms = [r for r in run("jpeg_segments_whole") if r["name"] == "COM (Comment)"]
+    assert all(sum(r["length"] for r in coms if r["doc_id"] == i) == n[i] + 4 * parts[i] for i in docs)
+    assert {r["doc_id"]: r["comment"] for r in run("jpeg_dims_whole")} == comment
+    shown = {int(r["path"][3:-4]): r["value"] for r in run("scan_long_whole") if r["key"] == "JPEGComment"}
+    assert all(shown[i] == t for i, t in comment.items() if parts[i] == 1) and len(shown) == len(docs)
+    assert {r["doc_id"]: r["escaped"] for r in run("formula_escape_whole")} == {i: ("'" if (t := ("=", " +", "-", "@", "a", "", "\t=")[i % 7] + x).lstrip()[:1] in set("=+-@") else "") + t for i, x in docs.items()}
+    assert {len(r["value"]) for r in run("export_csv_rows_whole")} == {len(r["escaped"]) for r in run("formula_escape_whole")}
+    assert {r["item_id"]: r["comment"] for r in run("gif_comments_whole")} == {i: f"{t}; second" for i, t in items.items()}
+    first = {r["item_id"]: r["length"] for r in run("gif_blocks_whole") if r["pos"] == 0}
+    assert first == {i: 3 + len(t.encode()) + -(-len(t.encode()) // 255) for i, t in items.items()}
+    assert all(r["comment"] == f"note {r['doc_id']}" and (r["n_set"], r["n_deleted"]) == (1, 0) for r in run("set_comment_roundtrip"))
