@@ -30,7 +30,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def whole(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """Registers the query over whole texts as well, as `NAME_whole` without SQL; the SQL of `NAME` fixes its prefix."""
+    """Registers the query over whole texts or all rows as well, as `NAME_whole` without SQL; the SQL of `NAME`
+    fixes its prefix or its rows."""
     QUERIES[f"{f.__name__}_whole"] = lambda spark, sf: f(spark, sf, whole=True)
     return f
 
@@ -189,16 +190,20 @@ def signature_hits(spark, sf):
     return hits.select("doc_id", "h.name", "h.category", "h.offset")
 
 
+@whole
 @query(f"""WITH s(i, name, category, magic) AS (VALUES {_SIGNATURE_ROWS}), h AS (SELECT doc_id, magic || hex(encode(CAST(doc_id AS VARCHAR))) AS h, from_hex(magic || hex(encode(CAST(doc_id AS VARCHAR)))) AS b FROM documents JOIN s ON doc_id % 11 = i WHERE i NOT IN (1, 9, 2))
 SELECT doc_id, regexp_replace(substr(h, 1, 32), '(..)', '\\1 ', 'g') || '| ' || list_aggregate(list_transform(range(0, least(16, octet_length(b))), lambda k: CASE WHEN CAST('0x' || substr(h, 2 * k + 1, 2) AS INT) BETWEEN 32 AND 126 THEN chr(CAST('0x' || substr(h, 2 * k + 1, 2) AS INT)) ELSE '.' END), 'string_agg', '') AS preview FROM h""")
-def signature_preview(spark, sf):
-    d = signature_carrier(spark, sf).where(~(col("doc_id") % 11).isin(1, 2, 9))
+def signature_preview(spark, sf, whole=False):
+    d = signature_carrier(spark, sf)
+    d = d if whole else d.where(~(col("doc_id") % 11).isin(1, 2, 9))
     return d.select("doc_id", stats.preview(F.expr("substring(content, at + 1, 16)")).alias("preview"))
 
 
+@whole
 @query("SELECT doc_id, doc_id % 2 = 0 AS valid FROM documents WHERE doc_id % 11 = 1")
-def pe_validation(spark, sf):
-    d = signature_carrier(spark, sf).where("doc_id % 11 = 1")
+def pe_validation(spark, sf, whole=False):
+    d = signature_carrier(spark, sf)
+    d = d if whole else d.where("doc_id % 11 = 1")
     return d.select("doc_id", F.exists(udfs.payloads(col("content"), F.lit(None).cast("long"))["hits"], lambda h: h["name"] == dims.PE_NAME).alias("valid"))
 
 
@@ -436,17 +441,20 @@ def png_phys_time(spark, sf):
     return p.select("o_orderkey", col("x.ppu_x").alias("ppu"), "x.modified")
 
 
-def webp_files(spark: SparkSession, sf: str) -> DataFrame:
+def webp_files(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
     head = F.concat(c.raw(b"\0\0\0\0"), c.le(col("l_partkey") % 16000, 3), c.le(col("l_suppkey") % 9000, 3))
     made = c.webp(c.webp_chunk(b"VP8X", head), c.webp_chunk(b"XMP ", c.utf8(col("l_linestatus"))), c.webp_chunk(b"ABCD", c.raw(b"1234")))
-    return table(spark, sf, "lineitem").where("l_linenumber = 1").select("l_orderkey", F.lit("a.webp").alias("path"), made.alias("content"))
+    rows = table(spark, sf, "lineitem")
+    return (rows if whole else rows.where("l_linenumber = 1")).select("l_orderkey", "l_linenumber", F.lit("a.webp").alias("path"), made.alias("content"))
 
 
+@whole
 @query("""SELECT l_orderkey, CAST(pos AS INT) AS pos, name, CAST("offset" AS BIGINT) AS "offset", CAST(length AS BIGINT) AS length, l_partkey % 16000 + 1 AS width, l_suppkey % 9000 + 1 AS height, l_linestatus AS xmp FROM (
 SELECT *, unnest([0, 1, 2]) AS pos, unnest(['VP8X', 'XMP ', 'ABCD']) AS name, unnest([12, 30, 40]) AS "offset", unnest([18, 9, 12]) AS length FROM lineitem WHERE l_linenumber = 1)""")
-def webp_chunks(spark, sf):
-    p = reports.parsed(webp_files(spark, sf))
-    return p.select("l_orderkey", F.posexplode("p.parts").alias("pos", "x"), "p.width", "p.height", "p.xmp").select("l_orderkey", "pos", "x.name", "x.offset", "x.length", "width", "height", "xmp")
+def webp_chunks(spark, sf, whole=False):
+    keys = ["l_orderkey", "l_linenumber"] if whole else ["l_orderkey"]
+    p = reports.parsed(webp_files(spark, sf, whole))
+    return p.select(*keys, F.posexplode("p.parts").alias("pos", "x"), "p.width", "p.height", "p.xmp").select(*keys, "pos", "x.name", "x.offset", "x.length", "width", "height", "xmp")
 
 
 def gif_files(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
@@ -493,10 +501,12 @@ def scan_long(spark, sf, whole=False):
     return reports.scan(jpeg_files(spark, sf, whole)).select("path", "pos", "category", "key", "value")
 
 
+@whole
 @query("""WITH s AS (SELECT o_orderkey, octet_length(encode(o_orderpriority)) AS n FROM orders) SELECT '/o/' || o_orderkey || '.png' AS path, CAST(2 AS INT) AS pos,
 printf('[0x%08X] tEXt   length: %-8d CRC: ', 54, 19 + n) AS head, CASE WHEN o_orderkey % 10 = 0 THEN '(CRC INVALID)' ELSE '(CRC OK)' END AS tail FROM s""")
-def structure_dump(spark, sf):
-    d = reports.dump(png_files(spark, sf)).where("pos = 2")
+def structure_dump(spark, sf, whole=False):
+    d = reports.dump(png_files(spark, sf))
+    d = d if whole else d.where("pos = 2")
     return d.select("path", "pos", F.regexp_extract("line", r"^(.* CRC: )0x", 1).alias("head"), F.regexp_extract("line", r"(\([^)]*\))$", 1).alias("tail"))
 
 

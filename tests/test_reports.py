@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from blobscope import dims
 from blobscope.operators import codecs, walkers
 from blobscope.plans import catalog, export, reports
 from blobscope.sources import files
@@ -173,3 +174,30 @@ def test_whole_texts(spark, long_texts):
     first = {r["item_id"]: r["length"] for r in run("gif_blocks_whole") if r["pos"] == 0}
     assert first == {i: 3 + len(t.encode()) + -(-len(t.encode()) // 255) for i, t in items.items()}
     assert all(r["comment"] == f"note {r['doc_id']}" and (r["n_set"], r["n_deleted"]) == (1, 0) for r in run("set_comment_roundtrip"))
+
+
+def test_all_rows(spark):
+    run = lambda name: [r.asDict() for r in catalog.QUERIES[name](spark, DATA).collect()]
+    read = lambda name: spark.read.parquet(f"{DATA}/{name}.parquet").collect()
+    ids = {r["doc_id"] for r in read("documents")}
+    valid = {r["doc_id"]: r["valid"] for r in run("pe_validation_whole")}
+    assert valid == {i: i % 11 == 1 and i % 2 == 0 for i in ids} and {i % 11 for i in ids} == set(range(11))
+    found = {r["doc_id"]: r["preview"] for r in run("signature_preview_whole")}
+    for i in ids:
+        pe = b"\0" * 58 + (64 + i % 2).to_bytes(4, "little") + b"PE\0\0" if i % 11 == 1 else b""
+        b = (dims.SIGNATURES[i % 11][0] + pe + str(i).encode())[:16]
+        assert found[i] == " ".join(f"{x:02X}" for x in b) + " | " + "".join(chr(x) if 32 <= x <= 126 else "." for x in b)
+    chunks = {(r["l_orderkey"], r["l_linenumber"], r["pos"]): (r["name"], r["offset"], r["length"], r["width"], r["height"], r["xmp"]) for r in run("webp_chunks_whole")}
+    want = {}
+    for r in read("lineitem"):
+        for pos, part in enumerate((("VP8X", 12, 18), ("XMP ", 30, 9), ("ABCD", 40, 12))):
+            want[r["l_orderkey"], r["l_linenumber"], pos] = (*part, r["l_partkey"] % 16000 + 1, r["l_suppkey"] % 9000 + 1, r["l_linestatus"])
+    assert chunks == want and {k[1] for k in want} > {1}
+    lines = {(r["path"], r["pos"]): (r["head"], r["tail"]) for r in run("structure_dump_whole")}
+    want = {}
+    for r in read("orders"):
+        n = len(r["o_orderpriority"].encode())
+        for pos, (name, at, size) in enumerate((("IHDR", 8, 25), ("pHYs", 33, 21), ("tEXt", 54, 19 + n), ("tIME", 73 + n, 19), ("IEND", 92 + n, 12))):
+            bad = pos == 2 and r["o_orderkey"] % 10 == 0
+            want[f"/o/{r['o_orderkey']}.png", pos] = (f"[0x{at:08X}] {name:<6} length: {size:<8} CRC: ", "(CRC INVALID)" if bad else "(CRC OK)")
+    assert lines == want
