@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -78,6 +79,7 @@ class Mapped:
         self.start: list[int] = []  # the three are filled by the first edit
         self.end: list[int] = []
         self.changed: bytearray | None = None
+        self.runs: tuple[str, list[re.Match[str]]] = "", []  # a text and its runs that hold digits' names
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
         """Replace ranges (in order, not overlapping) of the present text. Every character of a replacement
@@ -210,49 +212,122 @@ _RUN = re.compile(rf"(?:(?<![^\W\d_])|(?=[0-9+]))(?:(?:\+|(?<![^\W\d_])plus)[ \t
 _PART = re.compile(rf"(?P<times>double|doppel|triple)|(?P<name>{_NAME}(?![^\W\d_]))|(?P<plus>plus(?![^\W_]))|(?P<dot>dot|punkt|punto|point)|(?P<figure>[0-9]+)|(?P<gap>[ \t,().-]+)|(?P<rest>.)", re.I)
 
 
+def _parts(run: re.Match[str]) -> list[tuple[str | None, int, int, str]]:
+    return [(p.lastgroup, p.start() + run.start(), p.end() + run.start(), p[0]) for p in _PART.finditer(run[0])]
+
+
+def _figures(parts: list[tuple[str | None, int, int, str]]) -> list[tuple[int, int, str]]:
+    """Edits that turn the names of a run into figures and close the gaps beside them."""
+    edits, times = [], 1
+    for i, (kind, s, e, x) in enumerate(parts):
+        new = x
+        if kind == "times":
+            times, new = (3 if x.lower() == "triple" else 2), ""
+        elif kind == "name":
+            new, times = DIGITS[x.lower()] * times, 1
+        elif kind == "plus":
+            new = "+"
+        elif kind == "dot":
+            new = "."
+        elif kind == "gap":
+            near = {parts[j][0] for j in (i - 1, i + 1) if 0 <= j < len(parts)}
+            if near & {"name", "plus", "dot", "times"} and not set(x) & set("().-"):
+                new = ""
+            elif near & {"dot", "plus", "times"}:
+                new = ""
+            elif len(x) > 1 and set(x) <= set(" \t,"):
+                new = " "
+        if new != x:
+            edits.append((s, e, new))
+    return edits
+
+
+def _named_runs(m: Mapped) -> list[re.Match[str]]:
+    if m.runs[0] is not m.text:
+        m.runs = m.text, [x for x in _RUN.finditer(m.text) if x[0].lower() != x[0].upper()]  # not figures alone
+    return m.runs[1]
+
+
 def _spelled_digits(m: Mapped) -> None:
     edits = []
-    for run in _RUN.finditer(m.text):
-        if run[0].lower() == run[0].upper():  # figures alone
-            continue
-        parts = [(p.lastgroup, p.start() + run.start(), p.end() + run.start(), p[0]) for p in _PART.finditer(run[0])]
+    for run in _named_runs(m):
+        parts = _parts(run)
         named = [i for i, p in enumerate(parts) if p[0] == "name"]
         if len(named) < 3:
             continue
         commas = [i for i, p in enumerate(parts[: named[0]]) if "," in p[3]]
-        parts = parts[commas[-1] + 1 if commas else 0 :]  # a list before the first name is no part of the number
-        times = 1
-        for i, (kind, s, e, x) in enumerate(parts):
-            new = x
-            if kind == "times":
-                times, new = (3 if x.lower() == "triple" else 2), ""
-            elif kind == "name":
-                new, times = DIGITS[x.lower()] * times, 1
-            elif kind == "plus":
-                new = "+"
-            elif kind == "dot":
-                new = "."
-            elif kind == "gap":
-                near = {parts[j][0] for j in (i - 1, i + 1) if 0 <= j < len(parts)}
-                if near & {"name", "plus", "dot", "times"} and not set(x) & set("().-"):
-                    new = ""
-                elif near & {"dot", "plus", "times"}:
-                    new = ""
-                elif len(x) > 1 and set(x) <= set(" \t,"):
-                    new = " "
-            if new != x:
-                edits.append((s, e, new))
+        edits += _figures(parts[commas[-1] + 1 if commas else 0 :])  # a list before the first name is no part of the number
     m.rewrite(edits)
 
 
+_AS_DIGITS = str.maketrans("OoIl|", "00111")
 _LETTERS = re.compile(r"(?<=[0-9])([ -]?)([OoIl|]{1,4})(?=[ -]?[0-9])")
 
 
 def _letters_for_digits(m: Mapped) -> None:
-    m.rewrite([(x.start(2), x.end(2), x[2].translate(str.maketrans("OoIl|", "00111"))) for x in _LETTERS.finditer(m.text)])
+    m.rewrite([(x.start(2), x.end(2), x[2].translate(_AS_DIGITS)) for x in _LETTERS.finditer(m.text)])
+
+
+_BESIDE = " \t().-"
+
+
+def _beside(text: str, s: int, e: int) -> bool:
+    """Whether a figure or a plus is next to a range but for separators."""
+    s -= 1
+    while s >= 0 and text[s] in _BESIDE:
+        s -= 1
+    while e < len(text) and text[e] in _BESIDE:
+        e += 1
+    return s >= 0 and text[s] in "0123456789+" or e < len(text) and text[e] in "0123456789+"
+
+
+def _adjoining_names(m: Mapped) -> None:
+    """Fewer names than make a number by themselves, beside figures or a plus, but not in an address."""
+    edits = []
+    for run in _named_runs(m):
+        if m.text[run.end() : run.end() + 1] in {"@", "%", "_"} or m.text[run.start() - 1 : run.start()] in {"@", "%", "_"}:
+            continue
+        group: list[tuple[str | None, int, int, str]] = []
+        for p in [*_parts(run), ("gap", 0, 0, ",")]:
+            if "," not in p[3]:
+                group.append(p)
+                continue
+            kinds = {x[0] for x in group}
+            if "name" in kinds and (kinds & {"figure", "plus"} or _beside(m.text, group[0][1], group[-1][2])):
+                edits += _figures(group)
+            group = []
+    m.rewrite(edits)
+
+
+_MIXED = r"(?<![^\W\d_])[0-9OoIl|]++(?![^\W\d_])"
+_NUMBER = re.compile(rf"[0-9OoIl|](?<![^\W\d_][OoIl|])[0-9OoIl|]*+(?![^\W\d_])(?:[ \t().-]{{1,3}}+{_MIXED})*+")
+
+
+def _adjoining_letters(m: Mapped) -> None:
+    """Look-alikes in and beside figures, in groups of any length."""
+    edits = []
+    for x in _NUMBER.finditer(m.text):
+        if (new := x[0].translate(_AS_DIGITS)) != x[0] and re.search("[0-9]", x[0]):
+            edits += [(x.start() + k, x.start() + k + 1, new[k]) for k in range(len(new)) if new[k] != x[0][k]]
+    m.rewrite(edits)
 
 
 TRANSDUCERS: tuple[Callable[[Mapped], None], ...] = (_characters, _at_and_dot, _spelled_digits, _letters_for_digits)
+#: They run after the others, whose finds stay: what adjoins a number may be a word of the text. The base rules
+#: (number of digits, Luhn) refuse most of what isn't part of it.
+ADJOINING: tuple[Callable[[Mapped], None], ...] = (_adjoining_names, _adjoining_letters)
+#: A phone number that is whole without it doesn't take up a word that is an article, a pronoun or the like.
+_WORD_AFTER = re.compile(r"[ \t]+(?:un|une|uno|ein|one|oh|[OoIl|]{1,2})", re.I)
+
+
+def _behind(m: Mapped) -> list[Span]:
+    return [(kind, *m.source(s, e)) for kind, s, e in detect(m.text) if m.touched(s, e)]
+
+
+def _held(span: Span, by: list[Span]) -> bool:
+    """Whether a span of its kind holds it; `by`: by kind, then by start, as detect() gives them."""
+    i = bisect_right(by, (KINDS.index(span[0]), span[1]), key=lambda x: (KINDS.index(x[0]), x[1])) - 1
+    return i >= 0 and by[i][0] == span[0] and span[2] <= by[i][2]
 
 
 def find(text: str) -> tuple[list[Span], list[Span]]:
@@ -262,14 +337,16 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
     m = Mapped(text)
     for step in TRANSDUCERS:
         step(m)
+    first, before = [] if m.changed is None else _behind(m), m.text
+    for step in ADJOINING:
+        step(m)
     if m.changed is None:
         return base, base
-    added = []
-    for kind, s, e in detect(m.text):
-        if m.touched(s, e):
-            a, b = m.source(s, e)
-            if not any(k == kind and x <= a and b <= y for k, x, y in base):
-                added.append((kind, a, b))
+    first = [x for x in first if not _held(x, base)]
+    phones = {x: y for kind, x, y in (*first, *base) if kind == "phone"}
+    more = [x for x in (_behind(m) if m.text is not before else []) if not _held(x, base)]
+    more = [(k, a, b) for k, a, b in more if not (k == "phone" and a in phones and _WORD_AFTER.fullmatch(text, phones[a], b))]
+    added = [*more, *(x for x in first if not _held(x, more))]
     if not added:
         return base, base
     return base, sorted({*base, *added}, key=lambda x: (KINDS.index(x[0]), x[1], x[2]))

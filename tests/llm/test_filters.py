@@ -141,8 +141,19 @@ def test_disguises_without_other_signs(text):
     assert pii.find(f"Write {text}, please")[1] == [("email", 6, 6 + len(text))]
 
 
+@pytest.mark.parametrize(("text", "kind"), [("+1 415 555 26 seven one", "phone"), ("4OOO OOOO OOOO OOO2", "card"), ("+1 OOOOO 2345", "phone"), ("4111 1111 1111 111one", "card"), ("four111 1111 one111 1111", "card"), ("4lll IIII 1111 lIIl", "card")])
+def test_few_names_and_long_groups(text, kind):
+    assert (kind, 6, 6 + len(text)) in pii.find(f"Call: {text}, please")[1]
+
+
+def test_words_beside_numbers():
+    for t in ("+1 415 555 1234 one of them", "+1 415 555 1234 I called", "+1 415 555 1234, one of them"):
+        assert pii.find(t)[1] == [("phone", 0, 15)], t
+    assert pii.find("４１１１ １１１１ １１１１ １１１１ one")[1] == [("card", 0, 19)] and pii.find("5 one@example.com")[1] == [("email", 2, 17)]
+
+
 def test_long_texts_stay_linear():
-    for unit in ("1", "1 ", "1, ", "one ", "1 one ", "a.", "a-", "a at ", "a dot ", "1O", "double ", "@"):
+    for unit in ("1", "1 ", "1, ", "one ", "1 one ", "a.", "a-", "a at ", "a dot ", "1O", "double ", "@", "O ", "| ", "+123456789 one "):
         begun = time.process_time()
         pii.find(unit * (200_000 // len(unit)))
         assert time.process_time() - begun < 20, unit
