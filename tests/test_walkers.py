@@ -134,3 +134,11 @@ def test_exif_record():
     assert round(g["latitude"], 6) == 43.467448 and round(g["longitude"], 4) == -11.8793 and round(g["altitude"], 3) == -639.588 and g["time_stamp"] == "14:27:07.24Z"
     assert exif.read(b"junk") == [] and exif.wide([])["gps"] is None
     assert exif.dms_to_decimal(float("nan"), 1, 1, False) == 0.0
+
+
+def test_exif_many_entries_and_long_values():
+    rows = b"".join((0x9000 + k % 99).to_bytes(2, "little") + b"\x03\0\x01\0\0\0\x07\0\0\0" for k in range(5000))
+    assert len(exif.read(b"II*\0\x08\0\0\0" + (5000).to_bytes(2, "little") + rows)) == 5000
+    n = (1 << 20) + 1
+    note = b"II*\0\x08\0\0\0\x01\0" + b"\x7c\x92\x07\0" + n.to_bytes(4, "little") + (26).to_bytes(4, "little") + b"\0\0\0\0" + b"m" * n
+    assert [(t.tag, t.count) for t in exif.read(note)] == [(0x927C, n)] and exif.read(note[:-1]) == []
