@@ -326,11 +326,21 @@ def _sql(p: str) -> str:
     return p.replace("'", "''")
 
 
+def _pattern_counts(spark: SparkSession, sf: str, names: list[str]) -> DataFrame:
+    w = table(spark, sf, "documents").select(F.explode(F.split("text", "[ \n]+")).alias("w"))
+    counts = w.agg(*(F.count_if(patterns.matches(col("w"), k)).alias(k) for k in names))
+    return counts.select(F.explode(F.map_from_arrays(F.array(*(F.lit(k) for k in names)), F.array(*(col(k) for k in names)))).alias("name", "hits")).where("hits > 0")
+
+
 @query("WITH t AS (SELECT doc_id, unnest(string_split_regex(text, '[ \\n]+')) AS w FROM documents) SELECT p.name, count(*) AS hits FROM t, (VALUES " + ", ".join(f"('{k}', '{_sql(patterns.PATTERNS[k])}')" for k in _TOKEN_PATTERNS) + ") AS p(name, re) WHERE regexp_matches(w, re) GROUP BY p.name")
 def pattern_counts(spark, sf):
-    w = table(spark, sf, "documents").select(F.explode(F.split("text", "[ \n]+")).alias("w"))
-    counts = w.agg(*(F.count_if(patterns.matches(col("w"), k)).alias(k) for k in _TOKEN_PATTERNS))
-    return counts.select(F.explode(F.map_from_arrays(F.array(*(F.lit(k) for k in _TOKEN_PATTERNS)), F.array(*(col(k) for k in _TOKEN_PATTERNS)))).alias("name", "hits")).where("hits > 0")
+    return _pattern_counts(spark, sf, _TOKEN_PATTERNS)
+
+
+@query()
+def pattern_counts_all(spark, sf):
+    """All named patterns; some have no mirror in DuckDB's regex engine."""
+    return _pattern_counts(spark, sf, list(patterns.PATTERNS))
 
 
 _EMAIL, _IP, _DIGITS = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", r"[0-9]{13,19}"

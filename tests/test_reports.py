@@ -1,12 +1,14 @@
 """Reports over files, exports, streaming and the query catalog."""
 
 import json
+import re
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from blobscope import dims
+from blobscope.functions import patterns
 from blobscope.operators import codecs, walkers
 from blobscope.plans import catalog, export, reports
 from blobscope.sources import files
@@ -201,3 +203,11 @@ def test_all_rows(spark):
             bad = pos == 2 and r["o_orderkey"] % 10 == 0
             want[f"/o/{r['o_orderkey']}.png", pos] = (f"[0x{at:08X}] {name:<6} length: {size:<8} CRC: ", "(CRC INVALID)" if bad else "(CRC OK)")
     assert lines == want
+
+
+def test_all_patterns_are_counted(spark, tmp_path):
+    words = "https://a.example.com/x?y=1 www.example.org (030)123-456.7 QUJD QUI= a@b.cd 12 none! http://x"
+    spark.createDataFrame([(1, words), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = dict(map(tuple, catalog.QUERIES["pattern_counts_all"](spark, str(tmp_path)).collect()))
+    want = {k: n for k, p in patterns.PATTERNS.items() if (n := sum(bool(re.search(p, w)) for w in words.split(" ")))}
+    assert got == want and {"url", "domain", "phone_intl", "base64"} <= set(want)
