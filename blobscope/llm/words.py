@@ -5,11 +5,13 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from .workers import memo
+
 #: An odd multiplier (of the 64-bit golden ratio) for hashes of runs, and those of the finaliser.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Words remembered by one Python worker; beyond it the memo starts anew.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 250_000
 
 
 class WordHashes(dict):
@@ -26,6 +28,7 @@ class WordHashes(dict):
 
 
 WORDS = WordHashes()
+memo("words", WORDS.clear)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -24,7 +24,7 @@ def ids(text):
 
 @pytest.fixture(scope="module")
 def encoders():
-    return bpe.Encoder(bpe.Vocabulary(PATH), memo_chunks=50), tokens.LibraryEncoder(PATH)
+    return bpe.Encoder(bpe.Vocabulary(PATH), memo_bytes=10_000), tokens.LibraryEncoder(PATH)
 
 
 def test_hard_texts(encoders):
