@@ -1,9 +1,16 @@
-"""All pairs of vectors above a cosine, by dual traversal of cover trees.
+"""All pairs of vectors above a cosine, by dual traversal of a cover tree.
 
-On the unit sphere a cosine of at least c is a distance of at most t = sqrt(2 - 2c). Vectors fall to the
-nearest of a bounded number of centres (a net over a bounded sample) and into blocks of bounded size. Two
-blocks, and inside them two nodes of their trees, need no comparison if their centres are further apart than
-t and both covering radii. In a block's tree each level is a net of half the radius of the one above.
+On the unit sphere a cosine of at least c is a distance of at most t = sqrt(2 - 2c). A tree covers all
+vectors: each node has a centre, which is one of its vectors and of its first child too, and a covering radius
+that is measured, not assumed; its children are a net of half its radius, as far as their number allows.
+
+The upper levels are built level by level over DataFrames. A node that holds few vectors, or only such as all
+link with each other, is a leaf there; its vectors are stored in blocks of bounded size, and each block is
+stored with its part of the tree, built once. Then the tree meets itself from the root down: pairs of nodes
+whose centres are further apart than t and both radii are dropped before any vector moves, pairs that lie
+within t altogether are linked as wholes, and only blocks under the pairs of leaves that remain are compared,
+again node by node. Products are taken in single precision, with a bound on their error; what the bound leaves
+open is decided in double precision.
 
 Copies of a vector are one node with a count, so a hot vector is never compared with itself.
 """
@@ -19,124 +26,383 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import materialize
-
-#: Vectors of the sample for the top net, vectors of a block (about), and of a leaf.
-SAMPLE, BLOCK, LEAF = 1024, 3072, 48
+from .workers import bounded, task
+
+#: Vectors of a block, about; children of a node of the upper levels at most, and vectors of a node, about, that
+#: its children are chosen among (all of them are then placed, and radii are measured over all).
+BLOCK, CHILDREN, SAMPLE = 8192, 16, 1024
+#: Vectors of a leaf inside a block.
+LEAF = 16
+#: A level has gained nothing if a child keeps so much of its parent's vectors and of its radius.
+KEEPS_ROWS, KEEPS_RADIUS = 0.9, 0.75
 #: Slack for rounding in distances; only what it decides is compared exactly.
 SLACK = 1e-6
+#: Pairs looked at together, and pairs of children from which on a product of matrices is taken.
+CHUNK, DENSE = 1 << 17, 4096
+
 
+def units(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1, in double precision."""
+    x = x.astype(np.float64)
+    scaled = x / np.abs(x).max(axis=1, initial=0)[:, None]
+    return scaled / np.sqrt((scaled * scaled).sum(axis=1))[:, None]
 
-def units(vectors: list) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors (double) and a mark for those that can link."""
-    width = len(vectors[0]) if vectors else 0
-    x = np.array(vectors, np.float64).reshape(len(vectors), width)
-    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
-        big = np.abs(x).max(axis=1, initial=0)
-        scaled = x / big[:, None]
-        n = np.sqrt((scaled * scaled).sum(axis=1))
-        u = scaled / n[:, None]
-    good = np.isfinite(u).all(axis=1) & (big > 0) if width else np.zeros(len(vectors), bool)
-    return u, good
 
+def _net(x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """A net of the rows of x: the centre that each row goes to, by number, and the rows that are centres."""
+    reach = 1 - radius * radius / 2  # cosine at this distance
+    owner, centres = np.zeros(len(x), np.int64), np.zeros(0, np.int64)
+    for at in range(0, len(x), 512):
+        rows = np.arange(at, min(at + 512, len(x)))
+        if len(centres):
+            near = x[rows] @ x[centres].T
+            best = near.argmax(axis=1)
+            owner[rows] = best
+            rows = rows[near[np.arange(len(rows)), best] < reach]
+        near, open_, new = x[rows] @ x[rows].T, np.ones(len(rows), bool), []
+        for i in range(len(rows)):
+            if open_[i]:
+                own = open_ & (near[i] >= reach)
+                own[i] = True
+                owner[rows[own]] = len(centres) + len(new)
+                new.append(i)
+                open_ &= ~own
+        centres = np.concatenate([centres, rows[new]])
+    return owner, centres
+
+
+class Tree:
+    """A block's vectors in the order of the tree, and its nodes: the range of rows, the row that is the centre,
+    the covering radius, and the range of nodes that are children (none: a leaf). The root is node 0."""
+
+    def __init__(self, nodes: np.ndarray, copies: np.ndarray, vectors: np.ndarray, spans: np.ndarray, radius: np.ndarray):
+        self.nodes, self.copies = nodes, copies
+        self.exact = units(vectors)
+        self.single = self.exact.astype(np.float32)
+        self.start, self.stop, self.centre, self.low, self.high = spans
+        self.radius = radius
+        self.summed = np.concatenate([[0], np.cumsum(copies)])
+
+    def held(self, i: np.ndarray) -> np.ndarray:
+        """Rows under nodes, copies counted."""
+        return self.summed[self.stop[i]] - self.summed[self.start[i]]
+
+
+def grow(vectors: np.ndarray, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of rows, the nodes' (start, stop, centre, low, high) and radii of a tree over vectors, where a
+    node of more than `leaf` rows has children."""
+    u = units(vectors)
+    x, order = u.astype(np.float32), np.arange(len(u))
+    spans, radius, limit = [[0, len(u), 0, 0, 0]], [float(np.sqrt(((u - u[0]) ** 2).sum(axis=1)).max()) + SLACK / 8], [2.0]
+    at = 0
+    while at < len(spans):
+        s, e = spans[at][:2]
+        if e - s > leaf and radius[at] > SLACK:
+            rows, half = order[s:e].copy(), min(limit[at], radius[at]) / 2
+            owner, centres = _net(x[rows], half)
+            apart = np.sqrt(((u[rows] - u[rows[centres]][owner]) ** 2).sum(axis=1))
+            reach = np.zeros(len(centres))
+            np.maximum.at(reach, owner, apart)
+            rank = np.argsort(-reach, kind="stable")  # the widest first
+            place = np.argsort(rank)
+            order[s:e] = rows[np.argsort(place[owner], kind="stable")]
+            ends = s + np.cumsum(np.bincount(place[owner], minlength=len(centres)))
+            spans[at][3:] = [len(spans), len(spans) + len(centres)]
+            spans += [[a, b, c, 0, 0] for a, b, c in zip([s, *ends[:-1].tolist()], ends.tolist(), rows[centres[rank]].tolist(), strict=True)]
+            radius += (reach[rank] + np.where(np.diff([s, *ends]) > 1, SLACK / 8, 0)).tolist()
+            limit += [half] * len(centres)
+        at += 1
+    table = np.array(spans, np.int32).T.copy()
+    table[2] = np.argsort(order)[table[2]]
+    return order, table, np.array(radius)
+
+
+def _expand(first: np.ndarray, n: np.ndarray, second: np.ndarray, m: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All pairs of the ranges (first, n) and (second, m), in chunks: number of the range, and the pair."""
+    size = n * m
+    cuts = np.cumsum(size) // CHUNK
+    for k in range(int(cuts[-1]) + 1 if len(cuts) else 0):
+        own = np.flatnonzero(cuts == k)
+        which = np.repeat(own, size[own])
+        at = np.arange(len(which)) - np.repeat(np.cumsum(size[own]) - size[own], size[own])
+        yield which, first[which] + at // m[which], second[which] + at % m[which]
+
+
+def stars(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n points the smallest point that links (i, j) reach."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, label[i], low)
+        np.minimum.at(new, label[j], low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+class Meeting:
+    """Dual traversal of two trees, or of one with itself."""
+
+    def __init__(self, a: Tree, b: Tree, cosine: float):
+        self.a, self.b, self.same, self.cosine = a, b, a is b, cosine
+        self.t = np.sqrt(2 - 2 * cosine)
+        self.error = (a.single.shape[1] + 8) * 2.0**-22  # of a product in single precision
+        self.links = [np.zeros(len(a.nodes) + 1, np.int64), np.zeros(len(b.nodes) + 1, np.int64)]  # of rows
+        self.whole = [np.zeros(len(a.nodes) + 1, np.int64), np.zeros(len(b.nodes) + 1, np.int64)]  # changes from row to row
+        if self.same:
+            self.links[1], self.whole[1] = self.links[0], self.whole[0]
+        self.itself = np.zeros(len(a.nodes) + 1, np.int64)
+        self.shift = 0 if self.same else len(a.nodes)
+        self.points = self.shift + len(b.nodes)
+        self.edges: list[tuple[np.ndarray, np.ndarray]] = []
+        self.n_edges = 0
+        self.open: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(1, np.int64), np.zeros(1, np.int64))]
+        while self.open:
+            self._visit(*self.open.pop())
+
+    def _join(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Rows i and j (points of both trees) are in one component."""
+        self.edges.append((i, j))
+        self.n_edges += len(i)
+        if self.n_edges > 1 << 21:
+            label = stars(self.points, *(np.concatenate(x) for x in zip(*self.edges, strict=True)))
+            i = np.flatnonzero(label != np.arange(self.points))
+            self.edges, self.n_edges = [(i, label[i])], 0
+
+    def _visit(self, p: np.ndarray, q: np.ndarray) -> None:
+        a, b = self.a, self.b
+        n, m = a.high[p] - a.low[p], b.high[q] - b.low[q]
+        leaves = (n == 0) & (m == 0)
+        if leaves.any():
+            self._rows(p[leaves], q[leaves])
+        p, q, n, m = (x[~leaves] for x in (p, q, n, m))
+        first, second = np.where(n > 0, a.low[p], p), np.where(m > 0, b.low[q], q)
+        n, m = np.maximum(n, 1).astype(np.int64), np.maximum(m, 1).astype(np.int64)
+        dense = n * m >= DENSE
+        for k in np.flatnonzero(dense):
+            self._product(np.arange(first[k], first[k] + n[k]), np.arange(second[k], second[k] + m[k]), self.same and p[k] == q[k])
+        p, q, first, n, second, m = (x[~dense] for x in (p, q, first, n, second, m))
+        for which, i, j in _expand(first, n, second, m):
+            if self.same:
+                ordered = (p[which] != q[which]) | (i <= j)
+                i, j = i[ordered], j[ordered]
+            self._judge(i, j, np.einsum("ij,ij->i", a.single[a.centre[i]], b.single[b.centre[j]]))
+
+    def _product(self, left: np.ndarray, right: np.ndarray, square: bool) -> None:
+        a, b = self.a, self.b
+        for s in range(0, len(left), 512):
+            i = left[s : s + 512]
+            for e in range(0, len(right), 2048):
+                j = right[e : e + 2048]
+                if square and j[-1] < i[0]:
+                    continue
+                dot = a.single[a.centre[i]] @ b.single[b.centre[j]].T
+                reach = self.t + a.radius[i].max() + b.radius[j].max() + SLACK
+                y, z = np.nonzero(dot >= (1 - min(reach, 2.0) ** 2 / 2 - self.error))
+                if square:
+                    ordered = i[y] <= j[z]
+                    y, z = y[ordered], z[ordered]
+                self._judge(i[y], j[z], dot[y, z])
+
+    def _judge(self, i: np.ndarray, j: np.ndarray, dot: np.ndarray) -> None:
+        """Drop pairs of nodes that are too far apart, link those that are close as wholes, open the others."""
+        a, b, both = self.a, self.b, self.a.radius[i] + self.b.radius[j]
+        near = dot + self.error >= 1 - np.minimum(self.t + both + SLACK, 2.0) ** 2 / 2
+        room = self.t - both - SLACK
+        inside = near & (room >= 0) & (dot - self.error >= 1 - np.maximum(room, 0) ** 2 / 2)
+        if self.same:
+            alone = (i == j) & (a.stop[i] - a.start[i] == 1)
+            near &= ~alone
+            inside &= ~alone
+        open_ = near & ~inside
+        if open_.any():
+            self.open.append((i[open_], j[open_]))
+        i, j = i[inside], j[inside]
+        if not len(i):
+            return
+        if self.same:
+            own = i[i == j]
+            np.add.at(self.whole[0], a.start[own], a.held(own))
+            np.add.at(self.whole[0], a.stop[own], -a.held(own))
+            np.add.at(self.itself, a.start[own], 1)
+            np.add.at(self.itself, a.stop[own], -1)
+            apart = i != j
+        else:
+            apart = np.ones(len(i), bool)
+        for tree, x, more, change in ((a, i[apart], b.held(j[apart]), self.whole[0]), (b, j[apart], a.held(i[apart]), self.whole[1])):
+            np.add.at(change, tree.start[x], more)
+            np.add.at(change, tree.stop[x], -more)
+        for tree, x, shift in ((a, np.unique(i), 0), (b, np.unique(j), self.shift)):
+            x = x[tree.stop[x] - tree.start[x] > 1]
+            size = (tree.stop[x] - tree.start[x]).astype(np.int64)
+            for which, _, row in _expand(np.zeros(len(x), np.int64), np.ones(len(x), np.int64), tree.start[x].astype(np.int64), size):
+                self._join(tree.start[x[which]] + shift, row + shift)
+        self._join(a.start[i].astype(np.int64), b.start[j].astype(np.int64) + self.shift)
+
+    def _rows(self, p: np.ndarray, q: np.ndarray) -> None:
+        """Compare all rows of leaves."""
+        a, b = self.a, self.b
+        for which, i, j in _expand(a.start[p].astype(np.int64), (a.stop[p] - a.start[p]).astype(np.int64), b.start[q].astype(np.int64), (b.stop[q] - b.start[q]).astype(np.int64)):
+            if self.same:
+                ordered = (p[which] != q[which]) | (i < j)
+                i, j = i[ordered], j[ordered]
+            dot = np.einsum("ij,ij->i", a.single[i], b.single[j]).astype(np.float64)
+            unsure = np.abs(dot - self.cosine) <= self.error
+            dot[unsure] = np.einsum("ij,ij->i", a.exact[i[unsure]], b.exact[j[unsure]])
+            hit = dot >= self.cosine
+            i, j = i[hit], j[hit]
+            np.add.at(self.links[0], i, b.copies[j])
+            np.add.at(self.links[1], j, a.copies[i])
+            self._join(i, j + self.shift)
+
+    def result(self) -> dict[str, np.ndarray]:
+        """node, links (of rows that have some) and hub (a node of the same component)."""
+        trees = [self.a] if self.same else [self.a, self.b]
+        nodes = np.concatenate([x.nodes for x in trees])
+        links = np.concatenate([(self.links[k] + np.cumsum(self.whole[k]))[:-1] for k in range(len(trees))])
+        if self.same:
+            links -= self.a.copies * np.cumsum(self.itself)[:-1]
+        i, j = (np.concatenate(x) for x in zip(*self.edges, strict=True)) if self.edges else (np.zeros(0, np.int64),) * 2
+        label = stars(self.points, i, j)
+        some = np.flatnonzero((links > 0) | (label != np.arange(len(label))))
+        return {"node": nodes[some], "links": links[some], "hub": nodes[label[some]]}
+
+
+def _stack(column: pa.Array | pa.ChunkedArray, kind: str) -> np.ndarray:
+    """The vectors of a binary column, of one length."""
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), kind).reshape(len(rows), -1)
+
+
+def _choose(kind: str, block: int, children: int):
+    """A sample of a node (its centre, where it has one, comes first) -> the centres of its children."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("first", "descending"), ("node", "ascending")])
+        points = _stack(t.column("point"), kind)
+        u, want = units(points), int(min(children, -(-t.column("n")[0].as_py() // block) + 1))
+        half = max(t.column("radius")[0].as_py() / 2, SLACK)
+        # farthest points first: every prefix is a net of its own radius
+        chosen, far = [0], 2 - 2 * (u @ u[0])
+        while len(chosen) < want and far.max() > min(half * half, 1.0) / 4:
+            chosen.append(int(far.argmax()))
+            far = np.minimum(far, 2 - 2 * (u @ u[chosen[-1]]))
+        return pa.table({"path": [t.column("path")[0].as_py()], "centres": pa.array([[points[c].tobytes() for c in chosen]], pa.list_(pa.binary()))})
+
+    return run
 
-class Node:
-    """A part of a block: row numbers, centre, covering radius, and children (none: a leaf)."""
 
-    __slots__ = ("centre", "children", "radius", "rows", "table")
+def _place(kind: str):
+    """Rows of a node with the centres of its children -> the child that each row falls to."""
 
-    def __init__(self, x: np.ndarray, rows: np.ndarray, centre: np.ndarray, limit: float):
-        self.rows, self.centre = rows, centre
-        d = np.sqrt(np.maximum(0, ((x[rows] - centre) ** 2).sum(axis=1))) if len(rows) > 1 else np.zeros(len(rows))
-        self.radius = float(d.max(initial=0))
-        self.children: list[Node] = []
-        self.table = None
-        if len(rows) > LEAF and self.radius > SLACK:
-            self.children = list(_net(x, rows, min(limit, self.radius) / 2))
-            self.table = np.stack([c.centre for c in self.children]), np.array([c.radius for c in self.children])
+    def run(rows: pa.Table, centres: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return pa.table({"path": pa.array([], pa.string()), "node": pa.array([], pa.int64()), "copies": pa.array([], pa.int64()), "dist": pa.array([], pa.float64()), "point": pa.array([], pa.binary())})
+        points = centres.column("centres")[0].as_py()
+        u, c = units(_stack(rows.column("point"), kind)), units(np.frombuffer(b"".join(points), kind).reshape(len(points), -1))
+        child = (u @ c.T).argmax(axis=1)
+        apart = np.sqrt(((u - c[child]) ** 2).sum(axis=1))
+        path = rows.column("path")[0].as_py()
+        return pa.table({"path": pa.array([f"{path}/{k}" for k in child], pa.string()), "node": rows.column("node"), "copies": rows.column("copies"), "dist": pa.array(apart + SLACK / 8), "point": rows.column("point")})
 
+    return run
 
-def _net(x: np.ndarray, rows: np.ndarray, radius: float) -> Iterator[Node]:
-    """Centres at least `radius` apart that cover the rows, each row going to the nearest."""
-    points = x[rows]
-    near = points @ points.T
-    reach = 1 - radius * radius / 2  # cosine at this distance
-    open_, centres = np.ones(len(rows), bool), []
-    for i in range(len(rows)):
-        if open_[i]:
-            centres.append(i)
-            open_ &= near[i] < reach
-    owner = near[:, centres].argmax(axis=1)
-    owner[centres] = np.arange(len(centres))
-    order = np.argsort(owner, kind="stable")
-    bounds = np.searchsorted(owner[order], np.arange(len(centres) + 1))
-    for k, c in enumerate(centres):
-        yield Node(x, rows[order[bounds[k] : bounds[k + 1]]], points[c], radius)
-
-
-def tree(x: np.ndarray) -> Node:
-    mean = x.mean(axis=0)
-    return Node(x, np.arange(len(x)), mean, 2.0)
-
-
-def linked(x: np.ndarray, a: Node, y: np.ndarray, b: Node, cosine: float) -> np.ndarray:
-    """Boolean matrix of the pairs of rows with at least this cosine."""
-    out = np.zeros((len(x), len(y)), bool)
-    t = np.sqrt(2 - 2 * cosine)
-
-    def exact(i: np.ndarray, j: np.ndarray) -> None:
-        out[np.ix_(i, j)] = x[i] @ y[j].T >= cosine
-
-    stack = [(a, b)]
-    while stack:
-        p, q = stack.pop()
-        if not p.children and not q.children:
-            exact(p.rows, q.rows)
-            continue
-        # the larger side opens; both if they are of a kind
-        left = p.children if p.children and (not q.children or p.radius >= q.radius / 2) else [p]
-        right = q.children if q.children and (not p.children or q.radius >= p.radius / 2) else [q]
-        (cp, rp), (cq, rq) = (n.table if side is n.children else (n.centre[None], np.array([n.radius])) for n, side in ((p, left), (q, right)))
-        dot = cp @ cq.T
-        d = np.sqrt(np.maximum(0, (cp * cp).sum(axis=1)[:, None] + (cq * cq).sum(axis=1) - 2 * dot))
-        both = rp[:, None] + rq
-        near = d <= t + both + SLACK
-        single = (np.array([len(n.rows) for n in left]) == 1)[:, None] & (np.array([len(n.rows) for n in right]) == 1)
-        if (s := near & single).any():
-            i, j = np.nonzero(s)
-            rows_i, rows_j = np.array([left[k].rows[0] for k in i]), np.array([right[k].rows[0] for k in j])
-            out[rows_i, rows_j] = dot[i, j] >= cosine
-        inside = (d + both <= t - SLACK) & ~single
-        for i, j in zip(*np.nonzero(inside), strict=True):
-            out[np.ix_(left[i].rows, right[j].rows)] = True
-        stack += [(left[i], right[j]) for i, j in zip(*np.nonzero(near & ~inside & ~single), strict=True)]
-    return out
-
-
-def _forest(m: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Stars that join what the links of a matrix join: nodes and the node each hangs on."""
-    nodes, hubs = [], []
-    rows_left = m.any(axis=1)
-    while rows_left.any():
-        first = int(np.argmax(rows_left))
-        rows, columns, frontier = np.zeros(len(a), bool), np.zeros(len(b), bool), np.array([first])
-        rows[first] = True
-        while len(frontier):
-            columns |= m[frontier].any(axis=0)
-            new = m[:, columns].any(axis=1) & ~rows if len(frontier) else rows
-            rows |= new
-            frontier = np.flatnonzero(new)
-        members = np.unique(np.concatenate([a[rows], b[columns]]))
-        nodes.append(members)
-        hubs.append(np.full(len(members), a[first]))
-        rows_left &= ~rows
-    empty = np.zeros(0, np.int64)
-    return (np.concatenate(nodes), np.concatenate(hubs)) if nodes else (empty, empty)
-
-
-def _matrix(t: pa.Table, side: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rows = t.filter(pa.array(np.asarray(t.column("side").to_pylist()) == side)).to_pylist()[0]
-    n = rows["rows"]
-    return np.frombuffer(rows["nodes"], np.int64, n), np.frombuffer(rows["copies"], np.int64, n), np.frombuffer(rows["points"], np.float64).reshape(n, -1)
+
+def _prune(kind: str, threshold: float):
+    """Pairs of nodes -> those that may hold links; `inside`: all their vectors are linked."""
+    t = np.sqrt(2 - 2 * threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c = {n: b.column(n) for n in b.schema.names}
+            same = np.array([x == y for x, y in zip(c["a"].to_pylist(), c["b"].to_pylist(), strict=True)], bool)
+            apart = np.zeros(b.num_rows)
+            by_width: dict[int, list[int]] = {}
+            left, right = c["centre_a"].to_pylist(), c["centre_b"].to_pylist()
+            for i in np.flatnonzero(~same):
+                by_width.setdefault(len(left[i]), []).append(i)
+            for at in by_width.values():
+                x, y = (units(np.frombuffer(b"".join([side[i] for i in at]), kind).reshape(len(at), -1)) for side in (left, right))
+                apart[at] = np.sqrt(((x - y) ** 2).sum(axis=1))
+            both = c["radius_a"].to_numpy(zero_copy_only=False) + c["radius_b"].to_numpy(zero_copy_only=False)
+            leaves = np.asarray(c["leaf_a"].to_pylist(), bool) & np.asarray(c["leaf_b"].to_pylist(), bool)
+            keep = pa.array(apart <= t + both + SLACK)
+            out = [c["a"], c["b"], pa.array(leaves & (apart + both <= t - SLACK)), pa.array(leaves)]
+            yield pa.RecordBatch.from_arrays([x.filter(keep) for x in out], ["a", "b", "inside", "leaves"])
+
+    return run
+
+
+def _pack(kind: str, leaf: int):
+    """The rows of a block with the tree over them."""
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.sort_by("node")
+        points = _stack(t.column("point"), kind)
+        order, spans, radius = grow(points, leaf)
+        nodes, copies = t.column("node").to_numpy()[order], t.column("copies").to_numpy()[order]
+        return pa.table({"path": [key[0].as_py()], "part": pa.array([key[1].as_py()], pa.int32()), "rows": pa.array([len(order)], pa.int32()), "nodes": [nodes.tobytes()], "copies": [copies.tobytes()], "points": [points[order].tobytes()], "spans": [spans.tobytes()], "radius": [radius.tobytes()]})
+
+    return run
+
+
+def _unpack(row: dict, kind: str) -> Tree:
+    n = row["rows"]
+    return Tree(np.frombuffer(row["nodes"], np.int64), np.frombuffer(row["copies"], np.int64), np.frombuffer(row["points"], kind).reshape(n, -1), np.frombuffer(row["spans"], np.int32).reshape(5, -1), np.frombuffer(row["radius"], np.float64))
+
+
+def _upper_levels(rows: DataFrame, kind: str, threshold: float) -> tuple[DataFrame, list[DataFrame]]:
+    """Rows with the path of their leaf, and the nodes of each level: parent, path, centre, radius, n, copies,
+    hub (a vector of it), leaf. Each level is a table; the driver only learns whether one is left to open."""
+    t = float(np.sqrt(2 - 2 * threshold))
+    centres = rows.select("path").distinct().select(F.lit(None).cast("string").alias("parent"), "path", F.lit(None).cast("binary").alias("centre"), F.lit(None).cast("long").alias("parent_n"), F.lit(None).cast("double").alias("parent_radius"))
+    levels, done = [], None
+    while True:
+        sums = rows.groupBy("path").agg(F.count("*").alias("n"), F.max("dist").alias("radius"), F.sum("copies").alias("copies"), F.min("node").alias("hub"))
+        stuck = F.coalesce((F.col("n") > KEEPS_ROWS * F.col("parent_n")) & (F.col("radius") > KEEPS_RADIUS * F.col("parent_radius")), F.lit(False))
+        level = materialize(sums.join(centres, "path").select("parent", "path", "centre", "radius", "n", "copies", "hub", ((F.col("n") * 2 <= 3 * BLOCK) | (2 * F.col("radius") <= t - SLACK) | stuck).alias("leaf")), "tree-level")
+        levels.append(level)
+        opened = level.where(~F.col("leaf"))
+        left = opened.isEmpty()
+        own = rows if left else rows.join(level.where("leaf").select("path"), "path", "left_semi")
+        done = own if done is None else done.unionByName(own)
+        if left:
+            return done, levels
+        inner = rows.join(opened.select("path", "n", "radius"), "path")
+        draw = F.pmod(F.xxhash64(F.lit(len(levels)), "node"), F.lit(1 << 32)) / float(1 << 32)
+        heads = opened.where(F.col("centre").isNotNull()).select("path", "n", "radius", F.lit(-1).cast("long").alias("node"), F.col("centre").alias("point"), F.lit(True).alias("first"))
+        sample = inner.where(draw < float(SAMPLE) / F.col("n")).select("path", "n", "radius", "node", "point", F.lit(False).alias("first"))
+        chosen = materialize(sample.unionByName(heads).groupBy("path").applyInArrow(_choose(kind, BLOCK, CHILDREN), "path string, centres array<binary>"), "tree-centres")
+        parts = F.ceil(F.col("n") / BLOCK).cast("int")
+        left_side = inner.select("path", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"), "node", "copies", "point")
+        right_side = chosen.join(opened.select("path", "n"), "path").select("path", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "centres")
+        placed = left_side.groupBy("path", "part").cogroup(right_side.groupBy("path", "part")).applyInArrow(_place(kind), "path string, node long, copies long, dist double, point binary")
+        rows = materialize(placed, "placed")
+        centres = chosen.join(opened.select("path", F.col("n").alias("parent_n"), F.col("radius").alias("parent_radius")), "path").select(F.col("path").alias("parent"), "parent_n", "parent_radius", F.posexplode("centres").alias("k", "centre"))
+        centres = centres.select("parent", F.concat_ws("/", "parent", F.col("k").cast("string")).alias("path"), "centre", "parent_n", "parent_radius")
+
+
+def _meet(levels: list[DataFrame], kind: str, threshold: float) -> DataFrame:
+    """Pairs (a, b) of leaves that may hold links, and whether all their vectors are linked (inside)."""
+    pairs = levels[0].select(F.col("path").alias("a"), F.col("path").alias("b"), (F.col("leaf") & (2 * F.col("radius") <= float(np.sqrt(2 - 2 * threshold)) - SLACK)).alias("inside"), F.col("leaf").alias("leaves"))
+    settled, leaves = [], levels[0].where("leaf")
+    for level in levels[1:]:
+        settled.append(pairs.where("leaves"))
+        # a leaf that meets an inner node stays as it is
+        kept = level.unionByName(leaves.withColumn("parent", F.col("path")))
+        side = lambda x: kept.select(F.col("parent").alias(f"parent_{x}"), F.col("path").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("centre", "radius", "leaf")))
+        met = pairs.where("not leaves").select(F.col("a").alias("parent_a"), F.col("b").alias("parent_b")).join(side("a"), "parent_a").join(side("b"), "parent_b")
+        met = met.where((F.col("parent_a") != F.col("parent_b")) | (F.col("a") <= F.col("b"))).select("a", "b", "centre_a", "radius_a", "leaf_a", "centre_b", "radius_b", "leaf_b")
+        pairs = materialize(met.mapInArrow(_prune(kind, threshold), "a string, b string, inside boolean, leaves boolean"), "tree-pairs")
+        leaves = leaves.unionByName(level.where("leaf"))
+    settled.append(pairs)
+    out = settled[0]
+    for x in settled[1:]:
+        out = out.unionByName(x)
+    return out.select("a", "b", "inside")
 
 
 def near_vectors(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -144,96 +410,64 @@ def near_vectors(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id",
 
     Rows link at a cosine of at least `threshold`, in double precision. Null, empty and zero vectors and
     those with null or non-finite components link with nothing; vectors of different lengths don't link.
-    Repeated rows and copies are rows of their own and link with each other. All pairs above the threshold
-    are found: the sample decides how vectors are grouped and nothing else."""
-    spark = df.sparkSession
-    rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    Repeated rows and copies are rows of their own and link with each other. An empty table gives none. All
+    pairs above the threshold are found: samples decide how vectors are grouped and nothing else."""
+    kind = "<f4" if df.schema[vector_col].dataType.elementType.simpleString() == "float" else "<f8"
+    element = "float" if kind == "<f4" else "double"
+    rows = bounded(df).select(F.col(id_col).alias("id"), F.col(vector_col).cast(f"array<{element}>").alias("v"))
     usable = F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     classes = rows.where(usable).groupBy("v").agg(F.count("*").alias("copies"), F.min("id").alias("first_id"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "vectors")
-    n = classes.count()
-    sample = classes.select("v", F.size("v").alias("width")).orderBy(F.xxhash64("v")).limit(SAMPLE).toArrow()
-    tops: dict[int, np.ndarray] = {}
-    for width in sorted(set(sample.column("width").to_pylist())):
-        u, good = units([v for v, w in zip(sample.column("v").to_pylist(), sample.column("width").to_pylist(), strict=True) if w == width])
-        u = u[good]
-        want = min(len(u), max(1, -(-n // BLOCK)))
-        # farthest points first: every prefix is a net of its own radius
-        chosen, far = [0], 2 - 2 * (u @ u[0])
-        while len(chosen) < want:
-            chosen.append(int(far.argmax()))
-            far = np.minimum(far, 2 - 2 * (u @ u[chosen[-1]]))
-        tops[width] = u[chosen]
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            vectors = b.column(0).to_pylist()
-            widths = np.array([len(v) for v in vectors], np.int64)
-            top, dist = np.zeros(len(vectors), np.int64), np.zeros(len(vectors))
-            data = np.empty(len(vectors), object)
-            for w in np.unique(widths):
-                at = np.flatnonzero(widths == w)
-                u, _ = units([vectors[i] for i in at])
-                centres = tops.get(int(w))
-                if centres is not None:
-                    near = u @ centres.T
-                    top[at] = near.argmax(axis=1)
-                    dist[at] = np.sqrt(np.maximum(0, 2 - 2 * near.max(axis=1)))
-                for i, p in zip(at, u, strict=True):
-                    data[i] = p.tobytes()
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(widths), pa.array(top), pa.array(dist), pa.array(data.tolist(), pa.binary())], ["node", "copies", "width", "top", "dist", "point"])
-
-    placed = materialize(classes.select("v", "node", "copies").mapInArrow(assign, "node long, copies long, width long, top long, dist double, point binary"), "placed")
-    # the sums of centres, of which there are at most the sample's number a width
-    sums = placed.groupBy("width", "top").agg(F.count("*").alias("n"), F.max("dist").alias("radius")).collect()
-    t, blocks, pairs = np.sqrt(2 - 2 * threshold), [], []
-    for r in sums:
-        blocks.append((r["width"], r["top"], max(1, -(-r["n"] // BLOCK))))
-    by_width: dict[int, list] = {}
-    for r in sums:
-        by_width.setdefault(r["width"], []).append(r)
-    for width, group in by_width.items():
-        group.sort(key=lambda r: r["top"])
-        centres = tops.get(width)
-        for i, a in enumerate(group):
-            for b in group[i:]:
-                apart = 0.0 if centres is None else float(np.linalg.norm(centres[a["top"]] - centres[b["top"]]))
-                if apart <= t + a["radius"] + b["radius"] + SLACK:
-                    pairs.append((width, a["top"], b["top"]))
-    parts = spark.createDataFrame(blocks, "width long, top long, parts int")
-    blocked = placed.join(F.broadcast(parts), ["width", "top"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-
-    def gather(key: tuple, t: pa.Table) -> pa.Table:
-        return pa.table({"width": [key[0].as_py()], "top": [key[1].as_py()], "part": [key[2].as_py()], "rows": [t.num_rows], "nodes": [t.column("node").to_numpy().tobytes()], "copies": [t.column("copies").to_numpy().tobytes()], "points": [b"".join(t.column("point").to_pylist())]}, schema=packed)
-
-    packed = pa.schema([("width", pa.int64()), ("top", pa.int64()), ("part", pa.int64()), ("rows", pa.int64()), ("nodes", pa.binary()), ("copies", pa.binary()), ("points", pa.binary())])
-    stored = materialize(blocked.select("width", "top", "part", "node", "copies", "point").groupBy("width", "top", "part").applyInArrow(gather, "width long, top long, part long, rows long, nodes binary, copies binary, points binary"), "blocks")
-    sides = spark.createDataFrame(pairs, "width long, top_a long, top_b long")
-    names = stored.select("width", "top", "part")
-    met = sides.join(names.select("width", F.col("top").alias("top_a"), F.col("part").alias("part_a")), ["width", "top_a"]).join(names.select("width", F.col("top").alias("top_b"), F.col("part").alias("part_b")), ["width", "top_b"]).where((F.col("top_a") < F.col("top_b")) | (F.col("part_a") <= F.col("part_b")))
-    pair = F.concat_ws("/", "width", "top_a", "part_a", "top_b", "part_b").alias("pair")
-    ends = met.select(pair, "width", F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"top_{s}").alias("top"), F.col(f"part_{s}").alias("part")) for s in "ab"))).alias("e")).select("pair", "width", "e.*")
-    work = ends.join(stored, ["width", "top", "part"]).select("pair", "side", "top", "part", "rows", "nodes", "copies", "points")
+            v, n = b.column(0), b.num_rows
+            ends, flat = v.offsets.to_numpy(), v.values.to_numpy(zero_copy_only=False).astype(kind)
+            points = [flat[x:y].tobytes() for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([str(len(x)) for x in points], pa.string()), b.column(1), b.column(2), pa.array(np.full(n, 2.0)), pa.array(points, pa.binary())], ["path", "node", "copies", "dist", "point"])
+
+    points = materialize(classes.select("v", "node", "copies").mapInArrow(task(start), "path string, node long, copies long, dist double, point binary"), "points")
+    placed, levels = _upper_levels(points, kind, threshold)
+    tree = levels[0]
+    for level in levels[1:]:
+        tree = tree.unionByName(level)
+    leaves = tree.where("leaf").select("path", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"), "copies", "hub")
+    blocked = placed.join(leaves.select("path", "parts"), "path").select("path", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "node", "copies", "point")
+    stored = materialize(blocked.groupBy("path", "part").applyInArrow(_pack(kind, LEAF), "path string, part int, rows int, nodes binary, copies binary, points binary, spans binary, radius binary"), "blocks")
+    pairs = materialize(_meet(levels, kind, threshold), "leaf-pairs")
+
+    # pairs of leaves that are linked as wholes: sums for their rows, without a comparison
+    whole = pairs.where("inside").join(leaves.select(F.col("path").alias("a"), F.col("copies").alias("copies_a"), F.col("hub").alias("hub_a")), "a").join(leaves.select(F.col("path").alias("b"), F.col("copies").alias("copies_b"), F.col("hub").alias("hub_b")), "b")
+    itself = F.col("a") == F.col("b")
+    more = whole.select(F.col("a").alias("path"), F.col("hub_a").alias("hub"), F.col("copies_b").alias("more"), itself.cast("int").alias("itself")).unionByName(whole.where(~itself).select(F.col("b").alias("path"), F.col("hub_b").alias("hub"), F.col("copies_a").alias("more"), F.lit(0).alias("itself")))
+    more = more.groupBy("path", "hub").agg(F.sum("more").alias("more"), F.max("itself").alias("itself"))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                nodes, copies = np.frombuffer(r["nodes"], np.int64), np.frombuffer(r["copies"], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(r["more"] - r["itself"] * copies), pa.array(np.full(len(nodes), r["hub"]))], ["node", "links", "hub"])
+
+    schema = "node long, links long, hub long"
+    as_wholes = stored.select("path", "nodes", "copies").join(more, "path").select("nodes", "copies", "more", "itself", "hub").mapInArrow(task(add), schema)
+    hubs = whole.where(~itself).select(F.col("hub_a").alias("node"), F.lit(0).cast("long").alias("links"), F.col("hub_b").alias("hub"))
+
+    # the others: every block of one leaf with every block of the other
+    part = lambda x: F.explode(F.sequence(F.lit(0), F.col(f"parts_{x}") - 1)).alias(f"part_{x}")
+    met = pairs.where("not inside").join(leaves.select(F.col("path").alias("a"), F.col("parts").alias("parts_a")), "a").join(leaves.select(F.col("path").alias("b"), F.col("parts").alias("parts_b")), "b")
+    met = met.select("a", "b", part("a"), "parts_b").select("a", "b", "part_a", part("b")).where((F.col("a") != F.col("b")) | (F.col("part_a") <= F.col("part_b")))
+    one = F.struct(F.col("a").alias("path"), F.col("part_a").alias("part"))
+    two = F.struct(F.col("b").alias("path"), F.col("part_b").alias("part"))
+    ends = met.select(F.concat_ws(" ", "a", "part_a", "b", "part_b").alias("pair"), F.explode(F.array_distinct(F.array(one, two))).alias("e")).select("pair", "e.*")
+    work = ends.join(stored, ["path", "part"])
 
     def compare(t: pa.Table) -> pa.Table:
-        (na, ca, x), (nb, cb, y) = _matrix(t, "a"), _matrix(t, "b")
-        same = len(set(zip(t.column("top").to_pylist(), t.column("part").to_pylist(), strict=True))) == 1
-        a = tree(x)
-        m = linked(x, a, y, a if same else tree(y), threshold)
-        if same:
-            np.fill_diagonal(m, False)
-            m |= m.T
-        links = m @ cb.astype(np.float64)
-        nodes, hubs = _forest(m, na, nb)
-        i = np.flatnonzero(links)
-        out = [(na[i], links[i].astype(np.int64), na[i]), (nodes, np.zeros(len(nodes), np.int64), hubs)]
-        if not same:
-            links = m.T @ ca.astype(np.float64)
-            i = np.flatnonzero(links)
-            out.append((nb[i], links[i].astype(np.int64), nb[i]))
-        return pa.table({k: np.concatenate([o[j] for o in out]) for j, k in enumerate(("node", "links", "hub"))})
-
-    found = materialize(work.groupBy("pair").applyInArrow(compare, "node long, links long, hub long"), "vector-links")
+        trees = [_unpack(r, kind) for r in t.drop_columns(["pair"]).to_pylist()]
+        found = Meeting(trees[0], trees[-1], threshold).result()
+        return pa.table(found, schema=pa.schema([("node", pa.int64()), ("links", pa.int64()), ("hub", pa.int64())]))
+
+    found = work.groupBy("pair").applyInArrow(compare, schema).unionByName(as_wholes).unionByName(hubs)
+    found = materialize(found, "vector-links")
     roots = materialize(components(found.select(F.col("node").alias("a"), F.col("hub").alias("b"))), "roots")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     labelled = classes.join(counts, "node", "left").join(roots, "node", "left").select("v", "first_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
