@@ -28,6 +28,7 @@ from .bpe import slices
 from .components import components
 from .scratch import materialize
 from .words import WORDS, distinct, mix, run_hashes, split
+from .workers import bounded, task
 
 #: Candidate texts are picked by a broadcast list of 64-bit keys up to this many (8 bytes each), and by a
 #: shuffled join beyond.
@@ -81,7 +82,7 @@ def band_keys(sets: list[np.ndarray], p: MinMax) -> np.ndarray:
 
 def sign(df: DataFrame, p: MinMax, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, th (hash of the text), n_shingles, node (64-bit digest of the shingle set; null if empty), bands."""
-    source = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    source = bounded(df).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     id_type = source.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +97,7 @@ def sign(df: DataFrame, p: MinMax, id_col: str = "doc_id", text_col: str = "text
                 nodes = [int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True) if len(x) else None for x in sets]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s, t - s), b.column(1).slice(s, t - s), pa.array([len(x) for x in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))], ["id", "th", "n_shingles", "node", "bands"])
 
-    return source.mapInArrow(run, f"id {id_type}, th long, n_shingles long, node long, bands array<long>")
+    return source.mapInArrow(task(run, "words"), f"id {id_type}, th long, n_shingles long, node long, bands array<long>")
 
 
 def full_sets(df: DataFrame, classes: DataFrame, wanted: DataFrame, p: MinMax, text_col: str = "text") -> DataFrame:
@@ -122,7 +123,7 @@ def full_sets(df: DataFrame, classes: DataFrame, wanted: DataFrame, p: MinMax, t
             flat = np.concatenate(sets).astype(np.int64) if sets else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array([bitmap(s).tolist() for s in sets], pa.list_(pa.int64()))], ["node", "shingles", "bits"])
 
-    return materialize(source.mapInArrow(run, "node long, shingles array<long>, bits array<long>").groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("bits").alias("bits")), "sets")
+    return materialize(source.mapInArrow(task(run, "words"), "node long, shingles array<long>, bits array<long>").groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("bits").alias("bits")), "sets")
 
 
 def bitmap(shingles: np.ndarray) -> np.ndarray:

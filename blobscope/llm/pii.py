@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
+from .workers import bounded, task
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -355,8 +356,10 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
 def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`id`, base and spans: arrays of (kind, start, stop) in code points, stop exclusive.
 
-    Row by row without a shuffle: null and empty texts have no spans, repeated rows are all returned."""
-    source = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    Row by row without a shuffle: null and empty texts have no spans, repeated rows are all returned, an empty
+    table has no rows, other columns don't matter. A task holds a batch bounded by bytes; of a longer text the
+    text, and where it was rewritten two numbers a character."""
+    source = bounded(df).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     id_type = source.schema["id"].dataType.simpleString()
     kind = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())])
 
@@ -369,7 +372,7 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s, t - s), *columns], ["id", "base", "spans"])
 
     kinds = "array<struct<kind: string, start: int, stop: int>>"
-    return source.mapInArrow(run, f"id {id_type}, base {kinds}, spans {kinds}").withColumnRenamed("id", id_col)
+    return source.mapInArrow(task(run), f"id {id_type}, base {kinds}, spans {kinds}").withColumnRenamed("id", id_col)
 
 
 def mask(text: str | None) -> str | None:
@@ -391,7 +394,8 @@ def mask(text: str | None) -> str | None:
 
 def mask_texts(df: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
     """`df` with masked texts, all other columns as they are but for the number of characters, which is
-    brought up to date where that column exists."""
+    brought up to date where that column exists. Null texts stay null, empty ones empty, repeated rows are
+    masked alike, and an empty table stays empty."""
     at, chars = df.columns.index(text_col), df.columns.index(chars_col) if chars_col in df.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,7 +410,7 @@ def mask_texts(df: DataFrame, text_col: str = "text", chars_col: str | None = "n
                 columns[at] = pa.array(done, pa.string())
                 yield pa.RecordBatch.from_arrays(columns, b.schema.names)
 
-    return df.mapInArrow(run, df.schema)
+    return bounded(df).mapInArrow(task(run), df.schema)
 
 
 def report(df: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from .bpe import _PLAIN, slices
 from .scratch import scratch_path
+from .workers import bounded, memo, task
 
 
 class LibraryEncoder:
@@ -82,6 +83,7 @@ class LibraryEncoder:
 
 
 _LIBRARY: dict[str, LibraryEncoder] = {}
+memo("library", _LIBRARY.clear)
 
 
 def library_encoder(path: str) -> LibraryEncoder:
@@ -223,7 +225,7 @@ def write_ids(df: DataFrame, tokenizer_path: str, out: str, vocabulary: int, end
     another, each of whole documents and about `segment_ids` ids. The segments travel in Parquet rows, so
     any store that Spark writes will do and retried tasks leave nothing; `payload` is the packed file."""
     bits = bits_for(vocabulary)
-    source = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    source = bounded(df).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     ordered = source.repartitionByRange("id", "h").sortWithinPartitions("id", "h").select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +250,7 @@ def write_ids(df: DataFrame, tokenizer_path: str, out: str, vocabulary: int, end
         if docs:
             yield row()
 
-    ordered.mapInArrow(run, SEGMENTS).write.option("compression", "none").parquet(out)
+    ordered.mapInArrow(task(run, "library"), SEGMENTS).write.option("compression", "none").parquet(out)
 
 
 def segment_offsets(segments: DataFrame) -> DataFrame:
@@ -276,7 +278,7 @@ def read_ids(spark, out: str) -> DataFrame:
                 crc = [zlib.crc32(ids[x:y].tobytes()) for x, y in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids, pa.int64()), pa.array(base + starts[:-1]), pa.array(np.diff(starts)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.mapInArrow(task(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def packed_round_trip(df: DataFrame, tokenizer_path: str, vocabulary: int) -> DataFrame:

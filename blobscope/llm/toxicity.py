@@ -1,7 +1,7 @@
 """Toxicity by a chain of linear classifiers.
 
-Categories are predicted one after another; the model of a category sees the words and the log-odds that
-the models before it give. While training, those log-odds come from models that have not seen the row
+Categories are predicted one after another; the model of a category sees the words and the probabilities that
+the models before it give. While training, those probabilities come from models that have not seen the row
 (out-of-fold), as they will for new documents.
 
 The labels at hand name two categories: low quality (quality = 0) and toxic; the chain takes them in this
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .bpe import slices
 from .words import WORDS, distinct
+from .workers import bounded, task
 
 #: Labelled rows that a chain is fitted on at most (those with the smallest hashes of their ids); the
 #: driver holds their word hashes. Words chosen as features, and documents of the sample that must hold one.
@@ -55,15 +56,10 @@ class Chain:
     def logits(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros((len(x), 0))
         for m in self.models:
-            out = np.column_stack([out, m.logits(x, _squash(out))])
+            out = np.column_stack([out, m.logits(x, _sigmoid(out))])
         return out
 
 
-def _squash(logits: np.ndarray) -> np.ndarray:
-    """Log-odds on a scale like that of the words."""
-    return np.clip(logits, -6, 6) / 3
-
-
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
@@ -132,6 +128,16 @@ def _threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float((p[order[k]] + low) / 2)
 
 
+def out_of_fold(x: np.ndarray, before: np.ndarray, y: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    """Log-odds of each row from a model fitted on the other folds."""
+    out = np.zeros(len(x))
+    for f in range(FOLDS):
+        held = fold == f
+        if held.any() and not held.all():
+            out[held] = _fit(x[~held], before[~held], y[~held]).logits(x[held], before[held])
+    return out
+
+
 def fit(sets: list[np.ndarray], labels: np.ndarray, categories: tuple[str, ...]) -> Chain:
     """Fit a chain on word-hash sets and their 0/1 labels (a column for each category)."""
     features = _choose(sets, labels)
@@ -140,12 +146,8 @@ def fit(sets: list[np.ndarray], labels: np.ndarray, categories: tuple[str, ...])
     unseen = np.zeros((len(sets), 0))
     models, thresholds = [], []
     for k in range(len(categories)):
-        y, before = labels[:, k].astype(np.float64), _squash(unseen)
-        out = np.zeros(len(sets))
-        for f in range(FOLDS):
-            held = fold == f
-            if held.any() and not held.all():
-                out[held] = _fit(x[~held], before[~held], y[~held]).logits(x[held], before[held])
+        y, before = labels[:, k].astype(np.float64), _sigmoid(unseen)
+        out = out_of_fold(x, before, y, fold)
         models.append(_fit(x, before, y) if len(sets) else Linear(np.zeros(len(features) + k), -40.0))
         thresholds.append(_threshold(_sigmoid(out), y))
         unseen = np.column_stack([unseen, out])
@@ -168,9 +170,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] | No
     picked = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     sample = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("doc_id")).join(F.broadcast(picked), "doc_id")
     ys = [f"y{i}" for i in range(len(categories))]
-    # an id may stand for several rows
-    order = sample.select("text", *ys, F.xxhash64("doc_id", "text").alias("o")).orderBy("o").limit(rows)
-    got = order.mapInArrow(_hashed, "words array<long>, " + ", ".join(f"{y} int" for y in ys) + ", o long").toArrow()
+    # words are hashed where the texts are; an id may stand for several rows
+    hashed = bounded(sample).select("text", *ys, F.xxhash64("doc_id", "text").alias("o")).mapInArrow(task(_hashed, "words"), "words array<long>, " + ", ".join(f"{y} int" for y in ys) + ", o long")
+    got = hashed.orderBy("o").limit(rows).toArrow()
     got = got.take(np.argsort(got.column("o").to_numpy(), kind="stable")) if got.num_rows else got
     sets = [np.array(x.values).astype(np.uint64) for x in got.column("words")]
     y = np.column_stack([got.column(c).to_numpy() for c in ys]) if got.num_rows else np.zeros((0, len(ys)))
@@ -179,8 +181,10 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] | No
 
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`id`, and for each category c p_c (probability) and c (boolean), for every row; null and empty texts
-    have no words. Whole texts are read, row by row, without a shuffle."""
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    have no words. Whole texts are read, row by row, without a shuffle; a task holds a batch bounded by bytes,
+    and of a longer text its words. Repeated rows and equal ids are each scored, other columns don't matter,
+    and an empty table has no rows."""
+    source = bounded(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = source.schema["id"].dataType.simpleString()
     names = chain.categories
 
@@ -192,18 +196,17 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
                 columns = [x for k in range(len(names)) for x in (pa.array(p[:, k]), pa.array(p[:, k] >= chain.thresholds[k]))]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s, t - s), *columns], ["id", *(x for c in names for x in (f"p_{c}", c))])
 
-    return source.mapInArrow(run, f"id {id_type}, " + ", ".join(f"p_{c} double, {c} boolean" for c in names)).withColumnRenamed("id", id_col)
+    return source.mapInArrow(task(run, "words"), f"id {id_type}, " + ", ".join(f"p_{c} double, {c} boolean" for c in names)).withColumnRenamed("id", id_col)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, p_low_quality, low_quality, p_toxic, toxic."""
+    """doc_id, p_low_quality, low_quality, p_toxic, toxic, for every row; see `train` and `score`."""
     return score(docs, train(docs, labels))
 
 
-
-
 def reject(docs: DataFrame, chain: Chain, category: str = "toxic", text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, all their columns as they are, that don't fall into the category."""
+    """The rows of `docs`, all their columns as they are, that don't fall into the category. Null and empty
+    texts are judged as texts without words, repeated rows alike; an empty table stays empty."""
     at, k = docs.columns.index(text_col), chain.categories.index(category)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,4 +216,4 @@ def reject(docs: DataFrame, chain: Chain, category: str = "toxic", text_col: str
                 p = _sigmoid(chain.logits(matrix([words(x) for x in texts[s:t]], chain.features)))[:, k]
                 yield b.slice(s, t - s).filter(pa.array(p < chain.thresholds[k]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(task(run, "words"), docs.schema)
