@@ -110,7 +110,7 @@ def test_repeats(spark, window, anchor, monkeypatch):
     rows = [(i, None if not w and i % 2 else rng.choice(sep).join(w), "k") for i, w in enumerate(docs)]
     monkeypatch.setattr(substrings, "SLICE_BYTES", 900)
     monkeypatch.setattr(substrings, "BUCKET_BYTES", 2000)
-    monkeypatch.setattr(substrings, "SHARD_CHARS", 300)
+    monkeypatch.setattr(substrings, "SHARD_PATTERNS", 5)
     monkeypatch.setattr(substrings, "HOT_SAMPLE", 2)
     monkeypatch.setattr(substrings, "HOT_SEEN", 3)
     df = spark.createDataFrame(rows, "doc_id long, text string, row string")
@@ -123,6 +123,20 @@ def test_repeats(spark, window, anchor, monkeypatch):
     assert [r["n_removed"] for r in substrings.remove_repeats(twice, window, anchor).collect()] == [13, 13]
 
 
+def test_automata_locate():
+    """What the automata don't hit isn't found, and what they hit is compared word for word."""
+    words = [str(i).encode() for i in range(60)]
+    shard = substrings.Shard([b" ".join(words[10:25]).decode()], 6, 3)
+    marked = shard.locate(words)
+    assert marked.nonzero()[0].tolist() == list(range(10, 25))
+    assert shard.locate(words[:14] + words[20:]) is None  # five words of the passage are no window
+    assert shard.locate([]) is None and shard.locate(words[:9]) is None
+    shard.words[3] = b"other"  # as if the hashes of two words were equal: windows that hold it don't agree
+    assert shard.locate(words).nonzero()[0].tolist() == list(range(14, 25))
+    shard.automata.clear()
+    assert shard.locate(words) is None
+
+
 @pytest.mark.parametrize("sizes", [(2048, 3072, 48), (40, 25, 3)])
 def test_near_vectors(spark, sizes, monkeypatch):
     for name, v in zip(("SAMPLE", "BLOCK", "LEAF"), sizes, strict=True):
