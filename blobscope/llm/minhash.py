@@ -80,8 +80,12 @@ def band_keys(sets: list[np.ndarray], p: MinMax) -> np.ndarray:
     return keys.T
 
 
+def _digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def sign(df: DataFrame, p: MinMax, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, th (hash of the text), n_shingles, node (64-bit digest of the shingle set; null if empty), bands."""
+    """id, th (hash of the text), n_shingles, digest (128 bits of the shingle set; null if empty), bands."""
     source = bounded(df).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     id_type = source.schema["id"].dataType.simpleString()
 
@@ -94,29 +98,29 @@ def sign(df: DataFrame, p: MinMax, id_col: str = "doc_id", text_col: str = "text
                 keys = band_keys([sets[i] for i in full], p).astype(np.int64) if full else np.zeros((0, 1), np.int64)
                 place = dict(zip(full, range(len(full)), strict=True))
                 ends = np.cumsum([0] + [keys.shape[1] * (i in place) for i in range(len(sets))]).astype(np.int32)
-                nodes = [int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True) if len(x) else None for x in sets]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(s, t - s), b.column(1).slice(s, t - s), pa.array([len(x) for x in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))], ["id", "th", "n_shingles", "node", "bands"])
+                digests = [_digest(x) if len(x) else None for x in sets]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(s, t - s), b.column(1).slice(s, t - s), pa.array([len(x) for x in sets], pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))], ["id", "th", "n_shingles", "digest", "bands"])
 
-    return source.mapInArrow(task(run, "words"), f"id {id_type}, th long, n_shingles long, node long, bands array<long>")
+    return source.mapInArrow(task(run, "words"), f"id {id_type}, th long, n_shingles long, digest binary, bands array<long>")
 
 
 def full_sets(df: DataFrame, classes: DataFrame, wanted: DataFrame, p: MinMax, text_col: str = "text") -> DataFrame:
     """node, shingles array<long> and bits of the wanted nodes, from one text of each class."""
-    picked = materialize(classes.join(wanted, "node", "left_semi").select("node", "th"), "picked")
+    picked = materialize(classes.join(wanted, "node", "left_semi").select("node", "th", "digest"), "picked")
     if picked.count() <= BROADCAST_KEYS:
         picked = F.broadcast(picked)
-    source = df.select(F.col(text_col).alias("text")).withColumn("th", F.xxhash64("text")).join(picked, "th").select("node", "text")
+    source = bounded(df).select(F.col(text_col).alias("text")).withColumn("th", F.xxhash64("text")).join(picked, "th").select("node", "digest", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()  # copies in this task; others go below
         for b in batches:
             nodes, sets = [], []
-            for node, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for node, digest, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 if node not in done:
-                    done.add(node)
                     s = shingle_set(text.as_py(), p.shingle)
                     # another text with this hash isn't of the class
-                    if int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) == node:
+                    if _digest(s) == digest:
+                        done.add(node)
                         nodes.append(node)
                         sets.append(s)
             ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
@@ -151,9 +155,10 @@ def confirm(pairs: DataFrame, sets: DataFrame, p: MinMax) -> DataFrame:
 def labels(df: DataFrame, p: MinMax, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As near_duplicates, with the hash of the text (th)."""
     signed = materialize(sign(df, p, id_col, text_col), "signed")
-    classes = materialize(signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("first_id"), F.min("th").alias("th"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n")), "classes")
+    classes = materialize(signed.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("id").alias("first_id"), F.min("th").alias("th"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n")).withColumn("node", F.monotonically_increasing_id()), "classes")
     members = classes.select("node", "n", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1")
+    # keys that groups share are tables of their own, so that a join with a hot bucket can be split
+    shared = materialize(members.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1"), "shared-buckets")
     grouped = materialize(members.join(shared, "bucket").select("bucket", "node", "n"), "buckets")
     sets = full_sets(df, classes, grouped.select("node").distinct(), p, text_col)
     # shingles that no other class has can't be shared: a class with too many of them has no partner, and
@@ -163,7 +168,7 @@ def labels(df: DataFrame, p: MinMax, id_col: str = "doc_id", text_col: str = "te
     facts = materialize(facts.where(F.col("rest") * p.denominator >= F.col("n") * p.numerator), "facts")
     # the class with the fewest shingles of its own is the likeliest to link with the others of its bucket
     able = grouped.select("bucket", "node").join(facts.select("node", (F.col("rest") / F.col("n")).alias("common")), "node")
-    pivots = able.groupBy("bucket").agg(F.count("*").alias("size"), F.max(F.struct("common", "node")).alias("p")).where("size > 1").select("bucket", "size", F.col("p.node").alias("pivot"))
+    pivots = materialize(able.groupBy("bucket").agg(F.count("*").alias("size"), F.max(F.struct("common", "node")).alias("p")).where("size > 1").select("bucket", "size", F.col("p.node").alias("pivot")), "pivots")
     able = materialize(able.select("bucket", "node").join(pivots, "bucket"), "able")
     first = able.where("node != pivot").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
     side = lambda x: facts.select(*(F.col(c).alias(x if c == "node" else f"{c}_{x}") for c in ("node", "n", "rest", "bits")))
@@ -173,6 +178,7 @@ def labels(df: DataFrame, p: MinMax, id_col: str = "doc_id", text_col: str = "te
     # buckets of two are settled; of the others those that still hold several components
     open_ = able.where("size > 2").select("bucket", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = open_.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
+    mixed = materialize(mixed, "mixed-buckets")
     open_ = materialize(open_.join(mixed, "bucket").join(facts, "node"), "open")
     left, right = (open_.select("bucket", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "n", "rest", "bits"))) for x in "ab")
     across = left.join(right, "bucket").where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & _may_link(p))
@@ -180,11 +186,11 @@ def labels(df: DataFrame, p: MinMax, id_col: str = "doc_id", text_col: str = "te
     more = materialize(confirm(second, sets, p), "confirmed")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
-    labelled = classes.select("node", "first_id").join(materialize(roots, "roots"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    labelled = classes.select("digest", "node", "first_id").join(materialize(roots, "roots"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    components_ = labelled.join(lowest, "root").select("node", "component_id")
-    out = signed.select("id", "th", "n_shingles", "node").join(components_, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    components_ = materialize(labelled.join(lowest, "root").select("digest", "component_id"), "component-ids")
+    out = signed.select("id", "th", "n_shingles", "digest").join(components_, "digest", "left")
+    component = F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), "th", "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
@@ -192,7 +198,9 @@ def near_duplicates(df: DataFrame, p: MinMax, id_col: str = "doc_id", text_col:
     """`id`, n_shingles (size of the set), component_id (smallest id that links reach), kept (it is that one).
 
     Null and wordless texts have an empty set and are linked with nothing. Equal ids or repeated rows: each
-    row is returned; equal sets are linked. A null id is larger than all others. An empty table gives none."""
+    row is returned; equal sets (by 128 bits) are linked. A null id is larger than all others. Ties of a pivot go to
+    the larger node and change no result. An empty table gives none, other columns don't matter. A task holds a
+    slice of texts and its sets; of a longer text its words and set."""
     return labels(df, p, id_col, text_col).drop("th")
 
 

@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bits of the map by which rows are picked before a shuffle (1 MB).
+KEY_BITS = 1 << 23
 
 
 def scratch_root(spark: SparkSession) -> str:
     """The folder every executor shares, as the cluster names it in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, a laptop) a local folder is made and set."""
+    Where that setting is absent on a single machine (tests, a laptop) a local folder is made, set, and removed
+    at the end; on a cluster that would be no shared folder, so there it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
     kept = spark.conf.get("spark.blobscope.scratch", None)
     if not kept:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors share; the master is {master}")
         kept = tempfile.mkdtemp(prefix="blobscope-")
+        atexit.register(shutil.rmtree, kept, ignore_errors=True)
         spark.conf.set("spark.blobscope.scratch", kept)
         spark.sparkContext.setCheckpointDir(kept)
     return kept
@@ -34,4 +45,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of `materialize` that nothing will read any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def among_keys(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows of `df` whose key (a long) is among `keys` (a column of that name), and a few others: what is
+    broadcast is a map of KEY_BITS bits, however many keys there are. Texts are picked by it before a shuffle."""
+    bit = F.pmod(key, F.lit(KEY_BITS))
+    name, at = F.bitmap_bucket_number(bit), F.bitmap_bit_position(bit)
+    bits = F.broadcast(keys.select(name.alias("__name"), at.alias("__at")).groupBy("__name").agg(F.bitmap_construct_agg("__at").alias("__bits")))
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return df.withColumn("__name", name).join(bits, "__name").where(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1).select(*df.columns)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import among_keys, materialize
 from .words import BASE, WORDS, among, mix, run_hashes, split
 from .workers import bounded, task
 
@@ -41,8 +41,8 @@ HOT_SAMPLE, HOT_SEEN, HOT_SHARE = 64, 32, 1e-5
 MOST_PARTITIONS = 20_000
 #: Bytes of a window's hash that travel under its 64-bit anchor, and of a word in patterns and streams.
 HASH_BYTES, WORD_BYTES = 6, 2
-#: Bits of the map of rows that passages are cut from (1 MB), and buckets whose places in a row travel together.
-ROW_BITS, TOGETHER = 1 << 23, 4096
+#: Buckets whose places in a row travel together.
+TOGETHER = 4096
 
 
 def _windows(texts: list[str | None], window: int, anchor: int) -> tuple[np.ndarray, ...]:
@@ -347,15 +347,6 @@ def _locate(window: int, anchor: int, patterns: int):
     return run
 
 
-def _among_rows(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """Documents whose row is (nearly: the map has ROW_BITS bits) one that passages are cut from."""
-    bit = F.pmod("row", F.lit(ROW_BITS))
-    name, at = F.bitmap_bucket_number(bit), F.bitmap_bit_position(bit)
-    bits = F.broadcast(places.select(name.alias("name"), at.alias("at")).groupBy("name").agg(F.bitmap_construct_agg("at").alias("bits")))
-    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return docs.withColumn("name", name).join(bits, "name").where(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1).select(*docs.columns)
-
-
 def remove_repeats(df: DataFrame, window: int = 50, anchor: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`id`, n_words, n_removed, kept (the words left, joined by one space) of every row.
 
@@ -386,7 +377,7 @@ def remove_repeats(df: DataFrame, window: int = 50, anchor: int = 8, id_col: str
 
     wanted = places.groupBy("row", "tag", F.floor(F.col("bucket") / TOGETHER).alias("together")).agg(F.collect_list(F.struct("bucket", "start", "stop")).alias("places")).select("row", "tag", "places")
     once = f"id {id_type}, row long, tag int, text string, n long"
-    copies = _among_rows(docs, places).mapInArrow(_once, once).where(F.col("text").isNotNull()).select("row", "tag", "text")
+    copies = among_keys(docs, "row", places).mapInArrow(_once, once).where(F.col("text").isNotNull()).select("row", "tag", "text")
     passages = copies.join(wanted, ["row", "tag"]).select("text", "places").mapInArrow(task(_cut(window)), "bucket long, text string").distinct()
 
     streamed = docs.mapInArrow(_once, once).select(home, F.lit(1).alias("kind"), "id", "row", "tag", "n", "text")

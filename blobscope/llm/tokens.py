@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import _PLAIN, slices
-from .scratch import scratch_path
+from .scratch import among_keys, materialize, scratch_path
 from .workers import bounded, memo, task
 
 
@@ -118,15 +118,21 @@ def count_tokens(df: DataFrame, tokenizer_path: str, cache_path: str, id_col: st
 
     Content is the text after `normalise` (default: as it is, as any change would change counts), null is
     empty; its key is its sha256 with the tokenizer's version. Repeated rows and copies share one entry and
-    each keeps its own row. Copies are merged before the shuffle, so a hot text is one row a task.
-    The counting job commits before the result reads it; a lost executor repeats only its tasks."""
+    each keeps its own row; an empty table has no rows. Digests alone meet the cache; texts move only where their
+    digest is missing (up to a few that a map of bits can't tell), and copies are merged before that, so a hot text
+    is one row a task. A task holds a batch bounded by bytes; of a longer text that text and its ids. The
+    counting job commits before the result reads it; a lost executor repeats only its tasks."""
     spark = df.sparkSession
     version = tokenizer_version(tokenizer_path)
     text = F.coalesce(F.col(text_col), F.lit(""))
     content = normalise(text) if normalise else text
+    digest = F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest")
+    contents = bounded(df).select(content.alias("text")).select(digest, "text").withColumn("key", F.xxhash64("digest"))
     rows = df.select(F.col(id_col), F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(content.cast("binary"), 256)).alias("digest"))
-    contents = df.select(content.alias("text")).select(F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"), "text").groupBy("digest").agg(F.first("text").alias("text"))
-    misses = contents.join(_cached(spark, cache_path, version), "digest", "left_anti")
+    # digests meet the cache first, and only texts of missing ones are moved
+    missing = materialize(contents.select("digest", "key").distinct().join(_cached(spark, cache_path, version), "digest", "left_anti"), "missing-digests")
+    wanted = among_keys(contents, "key", missing).groupBy("digest").agg(F.first("text").alias("text"))
+    misses = wanted.join(missing.select("digest"), "digest", "left_semi")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = library_encoder(tokenizer_path)
@@ -135,8 +141,9 @@ def count_tokens(df: DataFrame, tokenizer_path: str, cache_path: str, id_col: st
             n = [len(x) // 4 for s, t in slices(texts) for x in e.ids(texts[s:t])]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], ["digest", "version", "n_tokens"])
 
-    misses.mapInArrow(count, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
-    counts = _cached(spark, cache_path, version)
+    misses.mapInArrow(task(count, "library"), CACHE_SCHEMA).write.mode("append").parquet(cache_path)
+    # a table of its own, so that a join with a hot digest can be split
+    counts = materialize(_cached(spark, cache_path, version), "token-counts")
     return rows.join(counts, "digest").select(id_col, "n_bytes", "n_tokens")
 
 
