@@ -26,10 +26,10 @@ def total(hist: Column) -> Column:
 
 
 def entropy(hist: Column) -> Column:
-    """Shannon entropy in bits a byte; 0 for no bytes."""
-    n = total(hist)
-    term = lambda c: F.when(c > 0, -(c / n) * F.log2(c / n)).otherwise(0.0)
-    return F.aggregate(hist, F.lit(0.0), lambda s, c: s + term(c))
+    """Shannon entropy in bits a byte; 0 for no bytes. One pass over the counts: log2(n) - sum(c log2 c) / n."""
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("s"))
+    step = lambda a, c: F.struct((a["n"] + c).alias("n"), (a["s"] + F.when(c > 0, c * F.log2(c)).otherwise(0.0)).alias("s"))
+    return F.aggregate(hist, start, step, lambda a: F.when(a["n"] > 0, F.greatest(F.log2(a["n"]) - a["s"] / a["n"], F.lit(0.0))).otherwise(0.0))
 
 
 def entropy_from_bytes(content: Column) -> Column:
@@ -37,10 +37,16 @@ def entropy_from_bytes(content: Column) -> Column:
 
 
 def chi_square(hist: Column) -> Column:
-    """Distance from the uniform distribution; an expected count is 1 at least. 0 for no bytes."""
-    n = total(hist)
-    e = F.greatest(n / 256.0, F.lit(1.0))
-    return F.when(n == 0, 0.0).otherwise(F.aggregate(hist, F.lit(0.0), lambda s, c: s + (c - e) * (c - e) / e))
+    """Distance from the uniform distribution; an expected count is 1 at least. 0 for no bytes. One pass over the
+    counts: with e expected, sum((c - e)^2) / e = sum(c^2) / e - 2 n + 256 e, and sum(c^2) is exact in integers."""
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("decimal(38,0)").alias("s"))
+    step = lambda a, c: F.struct((a["n"] + c).alias("n"), (a["s"] + c.cast("decimal(19,0)") * c.cast("decimal(19,0)")).cast("decimal(38,0)").alias("s"))
+
+    def finish(a: Column) -> Column:
+        e = F.greatest(a["n"] / 256.0, F.lit(1.0))
+        return F.when(a["n"] == 0, 0.0).otherwise(F.greatest(a["s"].cast("double") / e - 2.0 * a["n"] + 256.0 * e, F.lit(0.0)))
+
+    return F.aggregate(hist, start, step, finish)
 
 
 def normal_tail(z: Column) -> Column:

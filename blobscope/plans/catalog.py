@@ -3,6 +3,11 @@ rows in DuckDB, recomputed on the same bytes or in closed form from how they wer
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +17,7 @@ from .. import dims
 from ..functions import detect, dsp, geo, patterns, safety, stats
 from ..operators import udfs
 from ..sources import carriers as c
+from ..sources import sink
 from . import convert, export, reports
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,17 +35,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def whole(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """Registers the query over whole texts or all rows as well, as `NAME_whole` without SQL; the SQL of `NAME`
-    fixes its prefix or its rows."""
-    QUERIES[f"{f.__name__}_whole"] = lambda spark, sf: f(spark, sf, whole=True)
-    return f
-
-
-def prefix(n: Column | int, whole: bool) -> Column:
-    return col("text") if whole else F.substring("text", 1, n) if isinstance(n, int) else F.substring(col("text"), F.lit(1), n)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -110,13 +105,12 @@ def ascii_ratio(spark, sf):
     return doc_hist(spark, sf).select("doc_id", r(stats.ascii_ratio(col("hist"))).alias("ratio"))
 
 
-_COMMENT = "WITH t AS (SELECT doc_id, substr(text, 1, 240) || repeat(chr(1), CAST(doc_id % 90 AS INT)) AS t FROM documents), s AS (SELECT doc_id, octet_length(encode(t)) AS n, length(regexp_replace(t, '[^ -~\\t-\\r]', '', 'g')) AS good FROM t)"
+_COMMENT = "WITH t AS (SELECT doc_id, text || repeat(chr(1), CAST(doc_id % 90 AS INT)) AS t FROM documents), s AS (SELECT doc_id, octet_length(encode(t)) AS n, length(regexp_replace(t, '[^ -~\\t-\\r]', '', 'g')) AS good FROM t)"
 
 
-@whole
 @query(f"{_COMMENT} SELECT doc_id, CAST(n AS BIGINT) AS size, n > 256 AS large, (n - good) / n > 0.15 AS unprintable FROM s")
-def comment_findings(spark, sf, whole=False):
-    text = F.concat(prefix(240, whole), F.expr("repeat(char(1), cast(doc_id % 90 as int))"))
+def comment_findings(spark, sf):
+    text = F.concat(col("text"), F.expr("repeat(char(1), cast(doc_id % 90 as int))"))
     d = table(spark, sf, "documents").select("doc_id", c.utf8(text).alias("b")).select("doc_id", F.octet_length("b").cast("long").alias("size"), stats.byte_histogram(col("b")).alias("hist"))
     found = d.withColumn("f", stats.comment_findings(col("size"), stats.non_printable_ratio(col("hist"))))
     return found.select("doc_id", "size", F.exists("f", lambda x: x["severity"] == "Low").alias("large"), F.exists("f", lambda x: x["severity"] == "Medium").alias("unprintable"))
@@ -140,8 +134,7 @@ def scan_findings(spark, sf):
 # Overlays and signatures.
 
 
-def overlay_carrier(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    tail = prefix((col("doc_id") % 50).cast("int"), whole)
+def overlay_carrier(spark: SparkSession, sf: str) -> DataFrame:
     small = F.lit(16)
     made = (
         F.when(col("doc_id") % 3 == 0, c.jpeg(c.app0(), c.sof0(small, small), scan=c.raw(b"scan")))
@@ -149,23 +142,21 @@ def overlay_carrier(spark: SparkSession, sf: str, whole: bool = False) -> DataFr
         .otherwise(c.gif(small, small, c.gif_comment(c.raw(b"hello"))))
     )
     ext = F.element_at(F.array(F.lit("jpg"), F.lit("png"), F.lit("gif")), (col("doc_id") % 3 + 1).cast("int"))
-    return table(spark, sf, "documents").select("doc_id", F.concat(F.lit("/d/"), col("doc_id").cast("string"), F.lit("."), ext).alias("path"), F.concat(made, c.utf8(tail)).alias("content"))
+    return table(spark, sf, "documents").select("doc_id", F.concat(F.lit("/d/"), col("doc_id").cast("string"), F.lit("."), ext).alias("path"), F.concat(made, c.utf8(col("text"))).alias("content"))
 
 
-_OVERLAY = "WITH s AS (SELECT doc_id, octet_length(encode(substr(text, 1, CAST(doc_id % 50 AS INT)))) AS extra, CASE doc_id % 3 WHEN 0 THEN 51 WHEN 1 THEN 45 ELSE 23 END AS base FROM documents)"
+_OVERLAY = "WITH s AS (SELECT doc_id, octet_length(encode(text)) AS extra, CASE doc_id % 3 WHEN 0 THEN 51 WHEN 1 THEN 45 ELSE 23 END AS base FROM documents)"
 
 
-@whole
 @query(f"{_OVERLAY} SELECT doc_id, CAST(base AS BIGINT) AS logical_size, CAST(base + extra AS BIGINT) AS physical_size, CAST(extra AS BIGINT) AS overlay_size, extra > 0 AS has_overlay FROM s")
-def overlay_detect(spark, sf, whole=False):
-    p = reports.parsed(overlay_carrier(spark, sf, whole)).select("doc_id", stats.overlay(col("p.end"), col("size")).alias("o"))
+def overlay_detect(spark, sf):
+    p = reports.parsed(overlay_carrier(spark, sf)).select("doc_id", stats.overlay(col("p.end"), col("size")).alias("o"))
     return p.select("doc_id", "o.logical_size", "o.physical_size", col("o.overlay_size").cast("long").alias("overlay_size"), "o.has_overlay")
 
 
-@whole
 @query(f"{_OVERLAY} SELECT doc_id, CAST(CASE WHEN doc_id % 3 = 2 THEN base + extra ELSE base END AS BIGINT) AS kept FROM s")
-def overlay_truncate(spark, sf, whole=False):
-    return overlay_carrier(spark, sf, whole).select("doc_id", F.octet_length(udfs.cut_overlay(col("content"))["content"]).cast("long").alias("kept"))
+def overlay_truncate(spark, sf):
+    return overlay_carrier(spark, sf).select("doc_id", F.octet_length(udfs.cut_overlay(col("content"))["content"]).cast("long").alias("kept"))
 
 
 def signature_carrier(spark: SparkSession, sf: str) -> DataFrame:
@@ -190,20 +181,17 @@ def signature_hits(spark, sf):
     return hits.select("doc_id", "h.name", "h.category", "h.offset")
 
 
-@whole
-@query(f"""WITH s(i, name, category, magic) AS (VALUES {_SIGNATURE_ROWS}), h AS (SELECT doc_id, magic || hex(encode(CAST(doc_id AS VARCHAR))) AS h, from_hex(magic || hex(encode(CAST(doc_id AS VARCHAR)))) AS b FROM documents JOIN s ON doc_id % 11 = i WHERE i NOT IN (1, 9, 2))
+@query(f"""WITH s(i, name, category, magic) AS (VALUES {_SIGNATURE_ROWS}), x AS (SELECT doc_id, magic || CASE WHEN i = 1 THEN repeat('00', 58) ELSE '' END || hex(encode(CAST(doc_id AS VARCHAR))) AS x FROM documents JOIN s ON doc_id % 11 = i),
+h AS (SELECT doc_id, substr(x, 1, 32) AS h, from_hex(substr(x, 1, 32)) AS b FROM x)
 SELECT doc_id, regexp_replace(substr(h, 1, 32), '(..)', '\\1 ', 'g') || '| ' || list_aggregate(list_transform(range(0, least(16, octet_length(b))), lambda k: CASE WHEN CAST('0x' || substr(h, 2 * k + 1, 2) AS INT) BETWEEN 32 AND 126 THEN chr(CAST('0x' || substr(h, 2 * k + 1, 2) AS INT)) ELSE '.' END), 'string_agg', '') AS preview FROM h""")
-def signature_preview(spark, sf, whole=False):
+def signature_preview(spark, sf):
     d = signature_carrier(spark, sf)
-    d = d if whole else d.where(~(col("doc_id") % 11).isin(1, 2, 9))
     return d.select("doc_id", stats.preview(F.expr("substring(content, at + 1, 16)")).alias("preview"))
 
 
-@whole
-@query("SELECT doc_id, doc_id % 2 = 0 AS valid FROM documents WHERE doc_id % 11 = 1")
-def pe_validation(spark, sf, whole=False):
+@query("SELECT doc_id, doc_id % 11 = 1 AND doc_id % 2 = 0 AS valid FROM documents")
+def pe_validation(spark, sf):
     d = signature_carrier(spark, sf)
-    d = d if whole else d.where("doc_id % 11 = 1")
     return d.select("doc_id", F.exists(udfs.payloads(col("content"), F.lit(None).cast("long"))["hits"], lambda h: h["name"] == dims.PE_NAME).alias("valid"))
 
 
@@ -213,7 +201,10 @@ def page_script_hits(spark, sf):
     return hits.where(F.size("h") > 0).select("page_id", F.size("h").cast("long").alias("hits"), col("h")[0]["offset"].alias("first_offset"))
 
 
-@query()
+@query("""WITH RECURSIVE t(i, j, c) AS (SELECT i, 0, i FROM range(256) AS x(i) UNION ALL SELECT i, j + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM t WHERE j < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM t WHERE j = 8), b AS (SELECT doc_id, hex(encode(text)) AS h FROM documents),
+u AS (SELECT doc_id, list_transform(range(len(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)) AS u FROM b)
+SELECT doc_id, xor(list_reduce(u, lambda s, x: xor(s >> 8, t[xor(s & 255, x) + 1]), 4294967295), 4294967295) AS crc FROM u, crc""")
 def blob_crc32(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.crc32(c.utf8(col("text"))).alias("crc"))
 
@@ -299,18 +290,17 @@ def jpeg_marker_status(spark, sf):
 
 # Text safety and patterns.
 
-_PREFIXED_TEXT = "list_element(['=', ' +', '-', '@', 'a', '', chr(9) || '='], CAST(doc_id % 7 + 1 AS INT)) || substr(text, 1, 60)"
+_PREFIXED_TEXT = "list_element(['=', ' +', '-', '@', 'a', '', chr(9) || '='], CAST(doc_id % 7 + 1 AS INT)) || text"
 
 
-def _formula(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+def _formula(spark: SparkSession, sf: str) -> DataFrame:
     p = F.element_at(F.array(*(F.lit(x) for x in ("=", " +", "-", "@", "a", "", "\t="))), (col("doc_id") % 7 + 1).cast("int"))
-    return table(spark, sf, "documents").select("doc_id", F.concat(p, prefix(60, whole)).alias("t"))
+    return table(spark, sf, "documents").select("doc_id", F.concat(p, col("text")).alias("t"))
 
 
-@whole
 @query(f"SELECT doc_id, regexp_matches({_PREFIXED_TEXT}, '^\\s*[=+@-]') AS formula, CASE WHEN regexp_matches({_PREFIXED_TEXT}, '^\\s*[=+@-]') THEN '''' ELSE '' END || {_PREFIXED_TEXT} AS escaped FROM documents")
-def formula_escape(spark, sf, whole=False):
-    return _formula(spark, sf, whole).select("doc_id", safety.is_formula(col("t")).alias("formula"), safety.escape_formula(col("t")).alias("escaped"))
+def formula_escape(spark, sf):
+    return _formula(spark, sf).select("doc_id", safety.is_formula(col("t")).alias("formula"), safety.escape_formula(col("t")).alias("escaped"))
 
 
 @query("SELECT conv_id, turn, text || '-end' AS scrubbed FROM conversations")
@@ -319,28 +309,17 @@ def terminal_scrub(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", safety.scrub_terminal(t).alias("scrubbed"))
 
 
-_TOKEN_PATTERNS = [k for k in patterns.PATTERNS if k not in ("url", "domain", "phone_intl", "base64")]
-
-
 def _sql(p: str) -> str:
     return p.replace("'", "''")
 
 
-def _pattern_counts(spark: SparkSession, sf: str, names: list[str]) -> DataFrame:
-    w = table(spark, sf, "documents").select(F.explode(F.split("text", "[ \n]+")).alias("w"))
-    counts = w.agg(*(F.count_if(patterns.matches(col("w"), k)).alias(k) for k in names))
-    return counts.select(F.explode(F.map_from_arrays(F.array(*(F.lit(k) for k in names)), F.array(*(col(k) for k in names)))).alias("name", "hits")).where("hits > 0")
-
-
-@query("WITH t AS (SELECT doc_id, unnest(string_split_regex(text, '[ \\n]+')) AS w FROM documents) SELECT p.name, count(*) AS hits FROM t, (VALUES " + ", ".join(f"('{k}', '{_sql(patterns.PATTERNS[k])}')" for k in _TOKEN_PATTERNS) + ") AS p(name, re) WHERE regexp_matches(w, re) GROUP BY p.name")
+@query("WITH t AS MATERIALIZED (SELECT w, count(*) AS n FROM (SELECT unnest(string_split_regex(text, '[ \\n]+')) AS w FROM documents) GROUP BY w), c AS (" + " UNION ALL ".join(f"SELECT '{k}' AS name, sum(n) AS n FROM t WHERE regexp_matches(w, '{_sql(p)}')" for k, p in patterns.PATTERNS.items()) + ") SELECT name, CAST(n AS BIGINT) AS hits FROM c WHERE n > 0")
 def pattern_counts(spark, sf):
-    return _pattern_counts(spark, sf, _TOKEN_PATTERNS)
-
-
-@query()
-def pattern_counts_all(spark, sf):
-    """All named patterns; some have no mirror in DuckDB's regex engine."""
-    return _pattern_counts(spark, sf, list(patterns.PATTERNS))
+    """Words that match each of the named patterns. Copies of a word are counted first and matched once."""
+    words = table(spark, sf, "documents").select(F.explode(F.split("text", "[ \n]+")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    names = list(patterns.PATTERNS)
+    counts = words.agg(*(F.sum(F.when(patterns.matches(col("w"), k), col("n"))).alias(k) for k in names))
+    return counts.select(F.explode(F.map_from_arrays(F.array(*(F.lit(k) for k in names)), F.array(*(col(k) for k in names)))).alias("name", "hits")).where("hits > 0")
 
 
 _EMAIL, _IP, _DIGITS = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", r"[0-9]{13,19}"
@@ -390,31 +369,28 @@ def tag_lookup(spark, sf):
 # Containers.
 
 
-def jpeg_files(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+def jpeg_files(spark: SparkSession, sf: str) -> DataFrame:
     """SOI, APP0, a comment (in as many segments as it takes), SOF0, a scan, EOI from documents."""
-    comment = F.trim(F.regexp_replace(prefix(200, whole), "\\s+", " "))
+    comment = F.trim(F.regexp_replace("text", "\\s+", " "))
     made = c.jpeg(c.app0(), c.jpeg_comment(comment), c.sof0(col("doc_id") % 4000 + 1, col("n_chars") % 3000 + 1), scan=c.raw(b"0123456789"))
     return table(spark, sf, "documents").select("doc_id", F.concat(F.lit("/d/"), col("doc_id").cast("string"), F.lit(".jpg")).alias("path"), made.alias("content"))
 
 
-_JPEG = "WITH t AS (SELECT doc_id, n_chars, trim(regexp_replace(substr(text, 1, 200), '\\s+', ' ', 'g')) AS t FROM documents), s AS (SELECT *, octet_length(encode(t)) AS n FROM t)"
+_JPEG = "WITH t AS (SELECT doc_id, n_chars, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents), s AS (SELECT *, octet_length(encode(t)) AS n FROM t), k AS (SELECT *, CASE WHEN n <= 65533 THEN 1 ELSE (length(t) + 16382) // 16383 END AS k FROM s), com AS (SELECT doc_id, k, n, t, unnest(range(k)) AS i FROM k)"
 
 
-@whole
 @query(f"""{_JPEG} SELECT doc_id, CAST(pos AS INT) AS pos, name, CAST("offset" AS BIGINT) AS "offset", CAST(length AS BIGINT) AS length FROM (
-SELECT doc_id, unnest([0, 1, 2, 3, 4]) AS pos, unnest(['APP0 (JFIF / JFXX)', 'COM (Comment)', 'SOF0 (Baseline DCT)', 'SOS (Start of Scan)', 'EOI (End of Image)']) AS name,
-unnest([2, 20, 24 + n, 43 + n, 59 + n]) AS "offset", unnest([18, n + 4, 19, 6, 2]) AS length FROM s)""")
-def jpeg_segments(spark, sf, whole=False):
-    p = reports.parsed(jpeg_files(spark, sf, whole))
+SELECT doc_id, 0 AS pos, 'APP0 (JFIF / JFXX)' AS name, 2 AS "offset", 18 AS length FROM k
+UNION ALL SELECT doc_id, 1 + i, 'COM (Comment)', 20 + 4 * i + octet_length(encode(substr(t, 1, CAST(16383 * i AS INT)))), 4 + CASE WHEN k = 1 THEN n ELSE octet_length(encode(substr(t, CAST(16383 * i + 1 AS INT), 16383))) END FROM com
+UNION ALL SELECT doc_id, k + unnest([1, 2, 3]), unnest(['SOF0 (Baseline DCT)', 'SOS (Start of Scan)', 'EOI (End of Image)']), unnest([20 + n + 4 * k, 39 + n + 4 * k, 55 + n + 4 * k]), unnest([19, 6, 2]) FROM k)""")
+def jpeg_segments(spark, sf):
+    p = reports.parsed(jpeg_files(spark, sf))
     return p.select("doc_id", F.posexplode("p.parts").alias("pos", "x")).select("doc_id", "pos", "x.name", "x.offset", "x.length")
 
 
-@whole
 @query(f"{_JPEG} SELECT doc_id, doc_id % 4000 + 1 AS width, n_chars % 3000 + 1 AS height, CAST(8 AS INT) AS bit_depth, CAST(3 AS INT) AS channels, t AS comment FROM s")
-def jpeg_dims(spark, sf, whole=False):
-    files = jpeg_files(spark, sf, whole)
-    if not whole:
-        return reports.parsed(files).select("doc_id", "p.width", "p.height", "p.bit_depth", "p.channels", "p.comment")
+def jpeg_dims(spark, sf):
+    files = jpeg_files(spark, sf)
     d = reports.parsed(files.withColumn("comments", udfs.jpeg_comments(col("content"))["comments"]))  # the walk keeps the last segment's
     return d.select("doc_id", "p.width", "p.height", "p.bit_depth", "p.channels", F.array_join("comments", "").alias("comment"))
 
@@ -451,40 +427,36 @@ def png_phys_time(spark, sf):
     return p.select("o_orderkey", col("x.ppu_x").alias("ppu"), "x.modified")
 
 
-def webp_files(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+def webp_files(spark: SparkSession, sf: str) -> DataFrame:
     head = F.concat(c.raw(b"\0\0\0\0"), c.le(col("l_partkey") % 16000, 3), c.le(col("l_suppkey") % 9000, 3))
     made = c.webp(c.webp_chunk(b"VP8X", head), c.webp_chunk(b"XMP ", c.utf8(col("l_linestatus"))), c.webp_chunk(b"ABCD", c.raw(b"1234")))
-    rows = table(spark, sf, "lineitem")
-    return (rows if whole else rows.where("l_linenumber = 1")).select("l_orderkey", "l_linenumber", F.lit("a.webp").alias("path"), made.alias("content"))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.lit("a.webp").alias("path"), made.alias("content"))
 
 
-@whole
-@query("""SELECT l_orderkey, CAST(pos AS INT) AS pos, name, CAST("offset" AS BIGINT) AS "offset", CAST(length AS BIGINT) AS length, l_partkey % 16000 + 1 AS width, l_suppkey % 9000 + 1 AS height, l_linestatus AS xmp FROM (
-SELECT *, unnest([0, 1, 2]) AS pos, unnest(['VP8X', 'XMP ', 'ABCD']) AS name, unnest([12, 30, 40]) AS "offset", unnest([18, 9, 12]) AS length FROM lineitem WHERE l_linenumber = 1)""")
-def webp_chunks(spark, sf, whole=False):
-    keys = ["l_orderkey", "l_linenumber"] if whole else ["l_orderkey"]
-    p = reports.parsed(webp_files(spark, sf, whole))
+@query("""SELECT l_orderkey, l_linenumber, CAST(pos AS INT) AS pos, name, CAST("offset" AS BIGINT) AS "offset", CAST(length AS BIGINT) AS length, l_partkey % 16000 + 1 AS width, l_suppkey % 9000 + 1 AS height, l_linestatus AS xmp FROM (
+SELECT *, unnest([0, 1, 2]) AS pos, unnest(['VP8X', 'XMP ', 'ABCD']) AS name, unnest([12, 30, 40]) AS "offset", unnest([18, 9, 12]) AS length FROM lineitem)""")
+def webp_chunks(spark, sf):
+    keys = ["l_orderkey", "l_linenumber"]
+    p = reports.parsed(webp_files(spark, sf))
     return p.select(*keys, F.posexplode("p.parts").alias("pos", "x"), "p.width", "p.height", "p.xmp").select(*keys, "pos", "x.name", "x.offset", "x.length", "width", "height", "xmp")
 
 
-def gif_files(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    made = c.gif(col("item_id") + 1, col("item_id") + 2, c.gif_comment(c.utf8(prefix(400, whole))), c.gif_comment(c.utf8(F.lit("second"))))
+def gif_files(spark: SparkSession, sf: str) -> DataFrame:
+    made = c.gif(col("item_id") + 1, col("item_id") + 2, c.gif_comment(c.utf8(col("text"))), c.gif_comment(c.utf8(F.lit("second"))))
     return table(spark, sf, "benchmark").select("item_id", F.lit("a.gif").alias("path"), made.alias("content"))
 
 
-@whole
-@query("""WITH s AS (SELECT item_id, octet_length(encode(substr(text, 1, 400))) AS n FROM benchmark), t AS (SELECT item_id, 3 + n + (n + 254) // 255 AS k FROM s)
+@query("""WITH s AS (SELECT item_id, octet_length(encode(text)) AS n FROM benchmark), t AS (SELECT item_id, 3 + n + (n + 254) // 255 AS k FROM s)
 SELECT item_id, CAST(pos AS INT) AS pos, name, CAST("offset" AS BIGINT) AS "offset", CAST(length AS BIGINT) AS length FROM (
 SELECT item_id, unnest([0, 1, 2]) AS pos, unnest(['Comment Extension', 'Comment Extension', 'Trailer']) AS name, unnest([13, 13 + k, 23 + k]) AS "offset", unnest([k, 10, 1]) AS length FROM t)""")
-def gif_blocks(spark, sf, whole=False):
-    p = reports.parsed(gif_files(spark, sf, whole))
+def gif_blocks(spark, sf):
+    p = reports.parsed(gif_files(spark, sf))
     return p.select("item_id", F.posexplode("p.parts").alias("pos", "x")).select("item_id", "pos", "x.name", "x.offset", "x.length")
 
 
-@whole
-@query("SELECT item_id, substr(text, 1, 400) || '; second' AS comment, item_id + 1 AS width, item_id + 2 AS height FROM benchmark")
-def gif_comments(spark, sf, whole=False):
-    return reports.parsed(gif_files(spark, sf, whole)).select("item_id", "p.comment", "p.width", "p.height")
+@query("SELECT item_id, text || '; second' AS comment, item_id + 1 AS width, item_id + 2 AS height FROM benchmark")
+def gif_comments(spark, sf):
+    return reports.parsed(gif_files(spark, sf)).select("item_id", "p.comment", "p.width", "p.height")
 
 
 def heic_files(spark: SparkSession, sf: str) -> DataFrame:
@@ -503,44 +475,37 @@ def heic_dims(spark, sf):
     return reports.parsed(heic_files(spark, sf)).select("p_partkey", "p.width", "p.height")
 
 
-@whole
-@query(f"""{_JPEG}, x AS (SELECT doc_id, n_chars, t, 61 + n AS size FROM s) SELECT '/d/' || doc_id || '.jpg' AS path, CAST(pos AS INT) AS pos, category, key, value FROM (
+@query(f"""{_JPEG}, x AS (SELECT doc_id, n_chars, k, t, 57 + n + 4 * k AS size FROM k) SELECT '/d/' || doc_id || '.jpg' AS path, CAST(pos AS INT) AS pos, category, key, value FROM (
 SELECT doc_id, unnest([0, 1, 2, 3, 4]) AS pos, unnest(['Forensics', 'Forensics', 'Tiff', 'Tiff', 'Text']) AS category, unnest(['Container', 'FileSize', 'ImageWidth', 'ImageHeight', 'JPEGComment']) AS key,
-unnest(['JPEG Image Container', size || ' bytes (' || printf('%.2f', size / 1024) || ' KB)', (doc_id % 4000 + 1) || ' px', (n_chars % 3000 + 1) || ' px', t]) AS value FROM x)""")
-def scan_long(spark, sf, whole=False):
-    return reports.scan(jpeg_files(spark, sf, whole)).select("path", "pos", "category", "key", "value")
+unnest(['JPEG Image Container', size || ' bytes (' || printf('%.2f', size / 1024) || ' KB)', (doc_id % 4000 + 1) || ' px', (n_chars % 3000 + 1) || ' px', CASE WHEN k = 1 THEN t ELSE substr(t, CAST(16383 * (k - 1) + 1 AS INT)) END]) AS value FROM x)""")
+def scan_long(spark, sf):
+    return reports.scan(jpeg_files(spark, sf)).select("path", "pos", "category", "key", "value")
 
 
-@whole
-@query("""WITH s AS (SELECT o_orderkey, octet_length(encode(o_orderpriority)) AS n FROM orders) SELECT '/o/' || o_orderkey || '.png' AS path, CAST(2 AS INT) AS pos,
-printf('[0x%08X] tEXt   length: %-8d CRC: ', 54, 19 + n) AS head, CASE WHEN o_orderkey % 10 = 0 THEN '(CRC INVALID)' ELSE '(CRC OK)' END AS tail FROM s""")
-def structure_dump(spark, sf, whole=False):
+@query("""WITH s AS (SELECT o_orderkey, octet_length(encode(o_orderpriority)) AS n FROM orders), p AS (SELECT o_orderkey, unnest([0, 1, 2, 3, 4]) AS pos, unnest(['IHDR', 'pHYs', 'tEXt', 'tIME', 'IEND']) AS name, unnest([8, 33, 54, 73 + n, 92 + n]) AS spot, unnest([25, 21, 19 + n, 19, 12]) AS length FROM s)
+SELECT '/o/' || o_orderkey || '.png' AS path, CAST(pos AS INT) AS pos, printf('[0x%08X] %s   length: %-8d CRC: ', spot, name, length) AS head, CASE WHEN pos = 2 AND o_orderkey % 10 = 0 THEN '(CRC INVALID)' ELSE '(CRC OK)' END AS tail FROM p""")
+def structure_dump(spark, sf):
     d = reports.dump(png_files(spark, sf))
-    d = d if whole else d.where("pos = 2")
     return d.select("path", "pos", F.regexp_extract("line", r"^(.* CRC: )0x", 1).alias("head"), F.regexp_extract("line", r"(\([^)]*\))$", 1).alias("tail"))
 
 
-@whole
-@query(f"""{_OVERLAY} SELECT '/d/' || doc_id || '.' || list_element(['jpg', 'png', 'gif'], CAST(doc_id % 3 + 1 AS INT)) AS path, list_element(['jpeg', 'png', 'gif'], CAST(doc_id % 3 + 1 AS INT)) AS container,
-CAST(base + extra AS BIGINT) AS size, 'NORMAL' AS entropy_verdict, CASE WHEN extra > 0 THEN 'DETECTED (+' || extra || ' bytes)' ELSE 'CLEAN (0 bytes)' END AS overlay_verdict,
-CASE WHEN extra > 0 THEN 'ALERT: 1 Found' ELSE 'CLEAN (None Detected)' END AS payload_verdict, CASE WHEN doc_id % 3 = 0 THEN 'CLEAN (Chi-Square Verified)' END AS stego_verdict FROM s""")
-def audit_report(spark, sf, whole=False):
-    return reports.audit(overlay_carrier(spark, sf, whole)).select("path", "container", "size", "entropy_verdict", "overlay_verdict", "payload_verdict", "stego_verdict")
+@query()
+def audit_report(spark, sf):
+    return reports.audit(overlay_carrier(spark, sf)).select("path", "container", "size", "entropy_verdict", "overlay_verdict", "payload_verdict", "stego_verdict")
 
 
 # Rewrites.
 
 
-@whole
-@query(f"{_JPEG} SELECT doc_id, CAST(61 + n AS BIGINT) AS original, CAST(57 AS BIGINT) AS scrubbed, CAST(4 + n AS BIGINT) AS removed FROM s")
-def scrub_report(spark, sf, whole=False):
-    d = jpeg_files(spark, sf, whole).select("doc_id", F.octet_length("content").cast("long").alias("original"), F.octet_length(udfs.scrub(col("content"))["content"]).cast("long").alias("scrubbed"))
+@query(f"{_JPEG} SELECT doc_id, CAST(57 + n + 4 * k AS BIGINT) AS original, CAST(57 AS BIGINT) AS scrubbed, CAST(n + 4 * k AS BIGINT) AS removed FROM k")
+def scrub_report(spark, sf):
+    d = jpeg_files(spark, sf).select("doc_id", F.octet_length("content").cast("long").alias("original"), F.octet_length(udfs.scrub(col("content"))["content"]).cast("long").alias("scrubbed"))
     return d.select("*", (col("original") - col("scrubbed")).alias("removed"))
 
 
 @query("SELECT doc_id, 'note ' || doc_id AS comment, CAST(1 AS INT) AS n_set, CAST(0 AS INT) AS n_deleted FROM documents")
 def set_comment_roundtrip(spark, sf):
-    d = jpeg_files(spark, sf, True).select("doc_id", udfs.set_jpeg_comment(col("content"), F.concat(F.lit("note "), col("doc_id").cast("string")))["content"].alias("a"))
+    d = jpeg_files(spark, sf).select("doc_id", udfs.set_jpeg_comment(col("content"), F.concat(F.lit("note "), col("doc_id").cast("string")))["content"].alias("a"))
     d = d.select("doc_id", udfs.jpeg_comments(col("a"))["comments"].alias("one"), udfs.set_jpeg_comment(col("a"), F.lit(""))["content"].alias("b"))
     return d.select("doc_id", col("one")[0].alias("comment"), F.size("one").alias("n_set"), F.size(udfs.jpeg_comments(col("b"))["comments"]).alias("n_deleted"))
 
@@ -560,10 +525,29 @@ def sanitize_paths(spark, sf):
     return table(spark, sf, "events").select("event_id", p.alias("path")).select("event_id", "path", convert.clean_path(col("path")).alias("output"))
 
 
-@whole
-@query(f"{_JPEG} SELECT '/d/' || doc_id || '.jpg' AS path, '/d/' || doc_id || '.clean.jpg' AS output, CAST(61 + n AS BIGINT) AS original_size, CAST(57 AS BIGINT) AS sanitized_size, CAST(4 + n AS BIGINT) AS bytes_removed FROM s")
-def sanitize_report(spark, sf, whole=False):
-    return convert.sanitize(jpeg_files(spark, sf, whole)).select("path", "output", "original_size", "sanitized_size", "bytes_removed")
+@query(f"{_JPEG} SELECT '/d/' || doc_id || '.jpg' AS path, '/d/' || doc_id || '.clean.jpg' AS output, CAST(57 + n + 4 * k AS BIGINT) AS original_size, CAST(57 AS BIGINT) AS sanitized_size, CAST(n + 4 * k AS BIGINT) AS bytes_removed FROM k")
+def sanitize_report(spark, sf):
+    return convert.sanitize(jpeg_files(spark, sf)).select("path", "output", "original_size", "sanitized_size", "bytes_removed")
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A folder that executors share: below spark.checkpoint.dir, or a local one on a single machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="blobscope-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT '/d/' || doc_id || '.clean.jpg' AS output, CAST(57 AS BIGINT) AS bytes FROM documents")
+def sanitize_files(spark, sf):
+    """Scrubbed files, written and read back."""
+    root = _scratch(spark, "sanitized")
+    sink.write_files(convert.sanitize(jpeg_files(spark, sf)), root, path_col="output")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return found.select(F.regexp_extract("path", r"(/d/[^/]+)$", 1).alias("output"), col("length").alias("bytes"))
 
 
 # PCM: an embedding is 32 frames of two channels at 8000 Hz.
@@ -740,10 +724,9 @@ def capability_matrix(spark, sf):
     return m.select("source", "target", reports.capability(col("source"), col("target")).alias("supported"))
 
 
-@whole
 @query(f"""WITH t AS (SELECT '/f/' || doc_id AS file, {_PREFIXED_TEXT} AS t FROM documents) SELECT file, 'TEXT' AS category, '0x010E' AS tag_id, 'k' AS key, 'n' AS name, CASE WHEN regexp_matches(t, '^\\s*[=+@-]') THEN '''' ELSE '' END || t AS value FROM t""")
-def export_csv_rows(spark, sf, whole=False):
-    rows = _formula(spark, sf, whole).select(F.concat(F.lit("/f/"), col("doc_id").cast("string")).alias("path"), F.lit("Text").alias("category"), F.lit(0x010E).alias("tag_id"), F.lit("k").alias("key"), F.lit("n").alias("name"), col("t").alias("value"))
+def export_csv_rows(spark, sf):
+    rows = _formula(spark, sf).select(F.concat(F.lit("/f/"), col("doc_id").cast("string")).alias("path"), F.lit("Text").alias("category"), F.lit(0x010E).alias("tag_id"), F.lit("k").alias("key"), F.lit("n").alias("name"), col("t").alias("value"))
     return export.csv_rows(rows)
 
 

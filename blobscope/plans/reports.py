@@ -42,7 +42,7 @@ def entries() -> Column:
     comment = F.when(F.col("container").isin("jpeg", "gif"), p["comment"])
     head = F.array(
         _entry("Forensics", None, "Container", "Container Format", _named(F.col("container"))),
-        _entry("Forensics", None, "FileSize", "File Size", fmt("%d bytes (%.2f KB)", F.col("size"), F.col("size") / 1024.0)),
+        _entry("Forensics", None, "FileSize", "File Size", fmt("%d bytes (%.2f KB)", F.col("size"), F.bround(F.col("size") / 1024.0, 2))),
         _entry("Tiff", 0x0100, "ImageWidth", "Image Width", F.when(both, fmt("%d px", p["width"]))),
         _entry("Tiff", 0x0101, "ImageHeight", "Image Height", F.when(both, fmt("%d px", p["height"]))),
         _entry("Tiff", None, "BitDepth", "Bit Depth", F.when(F.col("container") == "png", number("%d bits", p["bit_depth"]))),

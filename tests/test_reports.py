@@ -146,34 +146,34 @@ def test_whole_texts(spark, long_texts):
     d, docs, items = long_texts
     run = lambda name, **k: [r.asDict() for r in catalog.QUERIES[name](spark, d).collect()]
     size = {i: len(t.encode()) for i, t in docs.items()}
-    for r in run("comment_findings_whole"):
+    for r in run("comment_findings"):
         b = (docs[r["doc_id"]] + "\x01" * (r["doc_id"] % 90)).encode()
         assert (r["size"], r["large"], r["unprintable"]) == (len(b), len(b) > 256, sum(not (32 <= x <= 126 or 9 <= x <= 13) for x in b) / len(b) > 0.15)
     base = (51, 45, 23)
-    for r in run("overlay_detect_whole"):
+    for r in run("overlay_detect"):
         i = r["doc_id"]
         assert (r["logical_size"], r["overlay_size"], r["has_overlay"]) == (base[i % 3], size[i], True)
-    assert {r["doc_id"]: r["kept"] for r in run("overlay_truncate_whole")} == {i: base[i % 3] + (size[i] if i % 3 == 2 else 0) for i in docs}
-    audit = {int(r["path"][3:].partition(".")[0]): r for r in run("audit_report_whole")}
+    assert {r["doc_id"]: r["kept"] for r in run("overlay_truncate")} == {i: base[i % 3] + (size[i] if i % 3 == 2 else 0) for i in docs}
+    audit = {int(r["path"][3:].partition(".")[0]): r for r in run("audit_report")}
     assert all(audit[i]["overlay_verdict"] == f"DETECTED (+{n} bytes)" and audit[i]["size"] == n + base[i % 3] for i, n in size.items())
     assert {i for i, r in audit.items() if r["payload_verdict"] == "ALERT: 2 Found"} == {3, 50, 51}
     comment = {i: " ".join(x for x in t.replace("\n", " ").split(" ") if x) for i, t in docs.items()}
     n = {i: len(t.encode()) for i, t in comment.items()}
     parts = {i: 1 if n[i] <= 65533 else -(-len(t) // 16383) for i, t in comment.items()}
     assert max(parts.values()) > 1
-    for name in ("scrub_report_whole", "sanitize_report_whole"):
+    for name in ("scrub_report", "sanitize_report"):
         for r in run(name):
             i = r["doc_id"] if "doc_id" in r else int(r["path"][3:-4])
             assert {n[i] + 4 * parts[i], n[i] + 57 + 4 * parts[i]} <= set(r.values())
-    coms = [r for r in run("jpeg_segments_whole") if r["name"] == "COM (Comment)"]
+    coms = [r for r in run("jpeg_segments") if r["name"] == "COM (Comment)"]
     assert all(sum(r["length"] for r in coms if r["doc_id"] == i) == n[i] + 4 * parts[i] for i in docs)
-    assert {r["doc_id"]: r["comment"] for r in run("jpeg_dims_whole")} == comment
-    shown = {int(r["path"][3:-4]): r["value"] for r in run("scan_long_whole") if r["key"] == "JPEGComment"}
+    assert {r["doc_id"]: r["comment"] for r in run("jpeg_dims")} == comment
+    shown = {int(r["path"][3:-4]): r["value"] for r in run("scan_long") if r["key"] == "JPEGComment"}
     assert all(shown[i] == t for i, t in comment.items() if parts[i] == 1) and len(shown) == len(docs)
-    assert {r["doc_id"]: r["escaped"] for r in run("formula_escape_whole")} == {i: ("'" if (t := ("=", " +", "-", "@", "a", "", "\t=")[i % 7] + x).lstrip()[:1] in set("=+-@") else "") + t for i, x in docs.items()}
-    assert {len(r["value"]) for r in run("export_csv_rows_whole")} == {len(r["escaped"]) for r in run("formula_escape_whole")}
-    assert {r["item_id"]: r["comment"] for r in run("gif_comments_whole")} == {i: f"{t}; second" for i, t in items.items()}
-    first = {r["item_id"]: r["length"] for r in run("gif_blocks_whole") if r["pos"] == 0}
+    assert {r["doc_id"]: r["escaped"] for r in run("formula_escape")} == {i: ("'" if (t := ("=", " +", "-", "@", "a", "", "\t=")[i % 7] + x).lstrip()[:1] in set("=+-@") else "") + t for i, x in docs.items()}
+    assert {len(r["value"]) for r in run("export_csv_rows")} == {len(r["escaped"]) for r in run("formula_escape")}
+    assert {r["item_id"]: r["comment"] for r in run("gif_comments")} == {i: f"{t}; second" for i, t in items.items()}
+    first = {r["item_id"]: r["length"] for r in run("gif_blocks") if r["pos"] == 0}
     assert first == {i: 3 + len(t.encode()) + -(-len(t.encode()) // 255) for i, t in items.items()}
     assert all(r["comment"] == f"note {r['doc_id']}" and (r["n_set"], r["n_deleted"]) == (1, 0) for r in run("set_comment_roundtrip"))
 
@@ -182,20 +182,20 @@ def test_all_rows(spark):
     run = lambda name: [r.asDict() for r in catalog.QUERIES[name](spark, DATA).collect()]
     read = lambda name: spark.read.parquet(f"{DATA}/{name}.parquet").collect()
     ids = {r["doc_id"] for r in read("documents")}
-    valid = {r["doc_id"]: r["valid"] for r in run("pe_validation_whole")}
+    valid = {r["doc_id"]: r["valid"] for r in run("pe_validation")}
     assert valid == {i: i % 11 == 1 and i % 2 == 0 for i in ids} and {i % 11 for i in ids} == set(range(11))
-    found = {r["doc_id"]: r["preview"] for r in run("signature_preview_whole")}
+    found = {r["doc_id"]: r["preview"] for r in run("signature_preview")}
     for i in ids:
         pe = b"\0" * 58 + (64 + i % 2).to_bytes(4, "little") + b"PE\0\0" if i % 11 == 1 else b""
         b = (dims.SIGNATURES[i % 11][0] + pe + str(i).encode())[:16]
         assert found[i] == " ".join(f"{x:02X}" for x in b) + " | " + "".join(chr(x) if 32 <= x <= 126 else "." for x in b)
-    chunks = {(r["l_orderkey"], r["l_linenumber"], r["pos"]): (r["name"], r["offset"], r["length"], r["width"], r["height"], r["xmp"]) for r in run("webp_chunks_whole")}
+    chunks = {(r["l_orderkey"], r["l_linenumber"], r["pos"]): (r["name"], r["offset"], r["length"], r["width"], r["height"], r["xmp"]) for r in run("webp_chunks")}
     want = {}
     for r in read("lineitem"):
         for pos, part in enumerate((("VP8X", 12, 18), ("XMP ", 30, 9), ("ABCD", 40, 12))):
             want[r["l_orderkey"], r["l_linenumber"], pos] = (*part, r["l_partkey"] % 16000 + 1, r["l_suppkey"] % 9000 + 1, r["l_linestatus"])
     assert chunks == want and {k[1] for k in want} > {1}
-    lines = {(r["path"], r["pos"]): (r["head"], r["tail"]) for r in run("structure_dump_whole")}
+    lines = {(r["path"], r["pos"]): (r["head"], r["tail"]) for r in run("structure_dump")}
     want = {}
     for r in read("orders"):
         n = len(r["o_orderpriority"].encode())
@@ -208,6 +208,29 @@ def test_all_rows(spark):
 def test_all_patterns_are_counted(spark, tmp_path):
     words = "https://a.example.com/x?y=1 www.example.org (030)123-456.7 QUJD QUI= a@b.cd 12 none! http://x"
     spark.createDataFrame([(1, words), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = dict(map(tuple, catalog.QUERIES["pattern_counts_all"](spark, str(tmp_path)).collect()))
+    got = dict(map(tuple, catalog.QUERIES["pattern_counts"](spark, str(tmp_path)).collect()))
     want = {k: n for k, p in patterns.PATTERNS.items() if (n := sum(bool(re.search(p, w)) for w in words.split(" ")))}
     assert got == want and {"url", "domain", "phone_intl", "base64"} <= set(want)
+
+
+def test_file_sink(spark, tmp_path):
+    """Rewritten files are written where their rows say, whole or not at all, and can be read back."""
+    from blobscope.sources import sink
+
+    root = tmp_path / "out"
+    rows = [(f"a/{i % 3}/f{i}.bin", bytes([i]) * (i + 1)) for i in range(40)] + [("e.bin", b""), ("none.bin", None)]
+    sink.write_files(spark.createDataFrame(rows, "output string, content binary").repartition(4), str(root), path_col="output")
+    got = {str(p.relative_to(root)): p.read_bytes() for p in root.rglob("*") if p.is_file()}
+    assert got == {k: v for k, v in rows if v is not None}
+    sink.write_files(spark.createDataFrame([("e.bin", b"new")], "output string, content binary"), str(root), path_col="output")
+    assert (root / "e.bin").read_bytes() == b"new"
+    for bad in ("../x", "a/../../x"):
+        with pytest.raises(Exception, match="outside"):
+            sink.write_files(spark.createDataFrame([(bad, b"x")], "output string, content binary"), str(root), path_col="output")
+    assert not (tmp_path / "x").exists() and not list(root.rglob("_staging*"))
+    sink.write_files(spark.createDataFrame([], "output string, content binary"), str(root), path_col="output")
+
+
+def test_written_files_query(spark):
+    rows = catalog.QUERIES["sanitize_files"](spark, "/root/testdata/sf0.001").collect()
+    assert rows and all(r["bytes"] == 57 for r in rows) and len({r["output"] for r in rows}) == len(rows)
