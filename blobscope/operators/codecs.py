@@ -1,5 +1,5 @@
 """Image and audio codecs in numpy and the standard library: WAV, PNG, BMP, TIFF, GIF and JPEG writing; WAV,
-PNG and BMP reading; exact resizing."""
+PNG and BMP reading (readers.py has GIF, TIFF and JPEG); exact resizing."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from . import headers, readers
 from .walkers import PNG_SIGNATURE, Malformed
 
 MAX_SIDE, MAX_PIXELS = 16384, 268_435_456
@@ -315,7 +316,7 @@ def encode_jpeg(pixels: np.ndarray, quality: int = 85) -> bytes:
 
 
 ENCODERS = {"png": encode_png, "bmp": encode_bmp, "tiff": encode_tiff, "gif": encode_gif}
-DECODERS = {"png": decode_png, "bmp": decode_bmp}
+DECODERS = {"png": decode_png, "bmp": decode_bmp, "gif": readers.decode_gif, "tiff": readers.decode_tiff, "jpeg": readers.decode_jpeg}
 
 
 def _lanczos(n: int, m: int) -> np.ndarray:
@@ -339,7 +340,7 @@ def transcode_image(data: bytes, source: str, target: str, quality: int = 85, si
     if not data:
         raise Malformed("EmptyFile", "File is empty")
     if source not in DECODERS:
-        raise unsupported(f"{source} (reading it takes Spark's image data source)")
+        raise unsupported(source)
     if target != "jpeg" and target not in ENCODERS:
         raise unsupported(target)
     if size:
@@ -376,7 +377,7 @@ def probe(data: bytes) -> dict:
     """What a blob is: kind, format, dimensions and bits a pixel, or rate, channels and seconds."""
     from .walkers import sniff
 
-    out = dict.fromkeys(("media_type", "format", "width", "height", "sample_rate", "channels", "bits_per_sample", "codec", "duration_secs"))
+    out = dict.fromkeys(("media_type", "format", "width", "height", "sample_rate", "channels", "bits_per_sample", "codec", "duration_secs", "audio_tracks", "video_tracks"))
     if (kind := sniff(data)) in ("png", "jpeg", "gif", "webp", "heic"):
         from .walkers import parse
 
@@ -385,8 +386,10 @@ def probe(data: bytes) -> dict:
         return out | {"media_type": "Image", "format": kind, "width": p.width, "height": p.height, "bits_per_sample": (p.bit_depth or 8) * per}
     if data[:4] == b"RIFF" and data[8:12] == b"WAVE":
         a = decode_wav(data)
-        return out | {"media_type": "Audio", "format": "wav", "sample_rate": a.rate, "channels": a.channels, "bits_per_sample": a.bits, "codec": "pcm", "duration_secs": len(a.samples) // a.channels / a.rate}
+        return out | {"media_type": "Audio", "format": "wav", "sample_rate": a.rate, "channels": a.channels, "bits_per_sample": a.bits, "codec": "pcm", "duration_secs": len(a.samples) // a.channels / a.rate, "audio_tracks": 1, "video_tracks": 0}
     if data[:2] == b"BM":
         p = decode_bmp(data)
         return out | {"media_type": "Image", "format": "bmp", "width": p.shape[1], "height": p.shape[0], "bits_per_sample": 8 * p.shape[2]}
-    raise unsupported("unknown bytes")
+    if (found := headers.probe(data)) is None:
+        raise unsupported("unknown bytes")
+    return out | found

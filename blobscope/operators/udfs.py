@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..dims import OVERLAY_CATEGORY, OVERLAY_NAME, PE_NAME, SIGNATURES
-from . import codecs, exif, rewrite, walkers
+from . import codecs, exif, rewrite, tools, walkers
 
 ERROR = "error struct<code: string, message: string>"
 _GPS = "latitude: double, longitude: double, altitude: float, speed: double, speed_ref: string, track: double, track_ref: string, img_direction: double, img_direction_ref: string, date_stamp: string, time_stamp: string"
@@ -26,7 +26,7 @@ PAYLOAD = "name: string, offset: bigint, length: bigint, category: string, previ
 AUDIT = f"struct<hist: array<bigint>, scan_hist: array<bigint>, payloads: array<struct<{PAYLOAD}>>, segments: array<struct<marker: int, size: bigint, non_printable: double>>>"
 BYTES = "struct<content: binary, error: struct<code: string, message: string>>"
 AUDIO = "struct<samples: array<float>, sample_rate: int, channels: int, bits: int, error: struct<code: string, message: string>>"
-PROBE = "struct<media_type: string, format: string, width: bigint, height: bigint, sample_rate: int, channels: int, bits_per_sample: int, codec: string, duration_secs: double, error: struct<code: string, message: string>>"
+PROBE = "struct<media_type: string, format: string, width: bigint, height: bigint, sample_rate: int, channels: int, bits_per_sample: int, codec: string, duration_secs: double, audio_tracks: int, video_tracks: int, error: struct<code: string, message: string>>"
 
 
 @cache
@@ -156,3 +156,15 @@ def audio_converter(**options: Any) -> Callable[..., Column]:
 def image_converter(**options: Any) -> Callable[..., Column]:
     """(content, source format, target format) -> bytes."""
     return struct_udf(BYTES, lambda b, s, t: {"content": codecs.transcode_image(b, s, t, **options)}, 3)
+
+
+def av_converter(options: tools.Options = tools.Options(), seconds: int = 600) -> Callable[..., Column]:
+    """(content, source format, target format) -> bytes, by the encoder of the machine that runs the task."""
+    from ..dims import FORMATS
+
+    kinds = {f: k for _, f, k, _ in FORMATS}
+
+    def run(content: bytes, source: str, target: str) -> dict[str, Any]:
+        return {"content": tools.convert(content, source, kinds.get(source, "unknown"), target, kinds.get(target, "unknown"), options, seconds)}
+
+    return struct_udf(BYTES, run, 3)

@@ -714,7 +714,7 @@ def batch_summary(spark, sf):
 @query("SELECT 'failed' AS status, 'UnsupportedFormat' AS code, count(*) AS n FROM embeddings WHERE vec_id % 2 = 1 UNION ALL SELECT 'converted', NULL, count(*) FROM embeddings WHERE vec_id % 2 = 0")
 def batch_convert(spark, sf):
     files = pcm(spark, sf).select(F.concat(F.lit("/in/"), col("vec_id").cast("string"), F.when(col("vec_id") % 2 == 0, ".wav").otherwise(".flac")).alias("path"), F.when(col("vec_id") % 2 == 0, udfs.wav_encoder(8000, 2)(col("x"))["content"]).otherwise(c.raw(b"fLaC....")).alias("content"))
-    done = reports.batch_convert(files, reports.Batch("/in", "/out", "wav", audio={"channels": 1}))
+    done = reports.batch_convert(files, reports.Batch("/in", "/out", "wav", audio={"channels": 1}, external=False))
     return done.groupBy("status", col("error.code").alias("code")).agg(F.count("*").alias("n"))
 
 

@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
+import json
+import posixpath
 import re
-import shutil
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.detect import AV_EXTENSIONS
 from ..functions.safety import scrub_terminal
-from ..operators import udfs
+from ..operators import codecs, udfs, walkers
 from ..operators.codecs import MAX_SIDE
-
-#: Places looked at for tools beside PATH.
-TOOL_FOLDERS = ("/usr/bin", "/usr/local/bin", "/opt/homebrew/bin")
-
+from ..operators.tools import find_tool  # noqa: F401
 
 def parse_size(text: str) -> tuple[int, int]:
     """`640x480` as width and height."""
@@ -25,10 +24,6 @@ def parse_size(text: str) -> tuple[int, int]:
     return int(m[1]), int(m[2])
 
 
-def find_tool(name: str) -> str | None:
-    return shutil.which(name) or next((p for d in TOOL_FOLDERS if shutil.os.access(p := f"{d}/{name}", shutil.os.X_OK)), None)
-
-
 @dataclass(frozen=True)
 class ImagePipeline:
     """Steps of an image conversion; each method returns a new pipeline. Use: df.transform(pipeline)."""
@@ -125,9 +120,68 @@ def set_comment(files: DataFrame, text: str | None, key: str = "Description") ->
     return files.select("path", F.coalesce(F.when(kind == "jpeg", j), F.when(kind == "png", p), other).alias("r")).select("path", "r.*")
 
 
-def text_table(rows: DataFrame, columns: list[str], limit: int = 1000) -> str:
-    """The first rows as a table for a terminal, without anything that could drive it."""
-    got = rows.select(*(F.coalesce(scrub_terminal(F.col(c).cast("string")), F.lit("")).alias(c) for c in columns)).limit(limit).collect()
+def plan_pairs(inputs: list[str], output: str | None = None, target: str | None = None, output_is_folder: bool = False) -> list[tuple[str, str]]:
+    """(input, output) of a conversion named as: two files; a file and an output; a file and a target format; any
+    number of files, a target format and, if given, a folder (else the current one)."""
+    if len(inputs) == 2 and output is None and target is None:
+        return [(inputs[0], inputs[1])]
+    if len(inputs) == 1 and output is not None and not output_is_folder:
+        return [(inputs[0], output)]
+    if not target:
+        raise walkers.Malformed("ConversionError", "Conversion error: give two files, or files and a target format")
+    stem = lambda path: posixpath.splitext(path)[0]
+    if len(inputs) == 1 and output is None:
+        return [(inputs[0], f"{stem(inputs[0])}.{target}")]
+    return [(path, posixpath.join(output or ".", f"{stem(posixpath.basename(path))}.{target}")) for path in inputs]
+
+
+def convert_stream(data: bytes, target: str, quality: int = 85, **audio) -> tuple[bytes, dict]:
+    """Bytes of a pipe converted (sound for any audio or video target, as WAV; pictures keep their size), and the
+    report of it."""
+    if not data:
+        raise walkers.Malformed("EmptyFile", "File is empty: <stdin>")
+    goal = target.lstrip(".").lower()
+    if goal in AV_EXTENSIONS:
+        out, kind = codecs.convert_audio(data, **audio), "audio transcode to WAV"
+    else:
+        source = walkers.sniff(data) or ("bmp" if data[:2] == b"BM" else "tiff" if data[:4] in (b"II*\0", b"MM\0*") else "unknown bytes")
+        out, kind = codecs.transcode_image(data, source, {"jpg": "jpeg", "tif": "tiff"}.get(goal, goal), quality), f"image transcode to {goal.upper()}"
+    return out, {"input_path": "<stdin>", "output_path": "<stdout>", "input_bytes": len(data), "output_bytes": len(out), "output_format": target, "details": f"{kind} ({len(data)} bytes)"}
+
+
+def convert_report(report: dict, as_json: bool = False) -> str:
+    """What a conversion did, as pretty JSON or as lines of name and value that can't drive a terminal."""
+    if as_json:
+        return json.dumps(report, indent=2, ensure_ascii=False)
+    clean = lambda v: "".join(c for c in str(v) if c.isprintable())
+    width = max(map(len, report), default=0)
+    return "\n".join(f"{k.ljust(width)} | {clean(v)}" for k, v in report.items())
+
+
+def batch_report(items: DataFrame, as_json: bool = False) -> str:
+    """Counts and bytes of a batch (one row reaches the driver)."""
+    from .reports import batch_summary
+
+    return convert_report(batch_summary(items).first().asDict(), as_json)
+
+
+def write_batch(files: DataFrame, b, root: str, staging: str) -> DataFrame:
+    """Converts a batch, writes what came out below `root`, and gives its report without the bytes. Conversions
+    run once: their rows are written to `staging`, a new folder that executors share, and read from there."""
+    from ..sources import sink
+    from .reports import batch_convert
+
+    spark: SparkSession = files.sparkSession
+    batch_convert(files, b).write.parquet(staging)
+    done = spark.read.parquet(staging)
+    sink.write_files(done, root, path_col="output")
+    return done.drop("content")
+
+
+def text_table(rows: DataFrame, columns: list[str], limit: int | None = None) -> str:
+    """All rows, or the first ones, as a table for a terminal, without anything that could drive it."""
+    shown = rows.select(*(F.coalesce(scrub_terminal(F.col(c).cast("string")), F.lit("")).alias(c) for c in columns))
+    got = (shown if limit is None else shown.limit(limit)).collect()
     width = [max([len(c), *(len(r[c]) for r in got)]) for c in columns]
     line = lambda cells: " | ".join(x.replace("\n", " ").ljust(w) for x, w in zip(cells, width, strict=True)).rstrip()
     return "\n".join([line(columns), "-+-".join("-" * w for w in width), *(line([r[c] for c in columns]) for r in got)])

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..dims import CONTAINERS, CONVERSIONS, FORMATS
 from ..functions import detect, stats
-from ..operators import udfs
+from ..operators import tools, udfs
 
 
 def _named(c: Column) -> Column:
@@ -138,6 +138,7 @@ class Batch:
     size: tuple[int, int] | None = None
     quality: int = 85
     audio: dict = field(default_factory=dict)
+    external: bool = True  # what Python can't convert goes to the encoder of the task's machine
 
 
 def output_path(path: Column, b: Batch) -> Column:
@@ -169,6 +170,10 @@ def batch_convert(files: DataFrame, b: Batch) -> DataFrame:
     images, audio = udfs.image_converter(size=b.size, quality=b.quality), udfs.audio_converter(**b.audio)
     kind = detect.media_kind(F.col("media"))
     refused = F.struct(F.lit(None).cast("binary").alias("content"), F.struct(F.lit("UnsupportedFormat").alias("code"), F.concat(F.lit("Unsupported media format: "), F.coalesce("media", F.lit("unknown")), F.lit(" to "), F.coalesce("goal", F.lit("unknown"))).alias("message")).alias("error"))
+    if b.external:
+        o = tools.Options(size=b.size, **{k: v for k, v in b.audio.items() if k in ("rate", "channels", "gain", "normalize")})
+        other = kind.isNotNull() & F.col("goal").isNotNull() & (kind != "image")
+        refused = F.when(other, udfs.av_converter(o)(F.when(other, F.col("content")), F.col("media"), F.col("goal"))).otherwise(refused)
     done = F.when((kind == "image") & (detect.media_kind(F.col("goal")) == "image"), images(F.when(kind == "image", F.col("content")), F.col("media"), F.col("goal"))).when((F.col("media") == "wav") & (F.col("goal") == "wav"), audio(F.when(F.col("media") == "wav", F.col("content")))).otherwise(refused)
     out = rows.withColumn("r", done)
     return out.select("path", "output", F.when(F.col("r.error").isNull(), "converted").otherwise("failed").alias("status"), F.octet_length("content").cast("long").alias("input_bytes"), F.coalesce(F.octet_length("r.content"), F.lit(0)).cast("long").alias("output_bytes"), "r.content", "r.error")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..dims import CONTAINERS
-from ..operators import codecs, rewrite, walkers
+from ..operators import codecs, describe, rewrite, walkers
 from . import reports
 
 VERSION = "0.1.0"
@@ -64,9 +64,10 @@ def _convert(content: bytes, target: str) -> bytes:
 
 def register(spark: SparkSession) -> None:
     """media_scrub(bytes), media_cut_overlay(bytes), media_convert(bytes, format): bytes, or null for what
-    can't be read or written; media_parse(bytes): JSON of the container or of the error; media_version()."""
+    can't be read or written; media_parse(bytes): JSON of the container or of the error; media_scan_json(bytes,
+    path), media_audit_json(bytes, path): the reports of a file; media_version()."""
 
-    def describe(content: pa.Array) -> pa.Array:
+    def outline(content: pa.Array) -> pa.Array:
         out = []
         for x in content.to_pylist():
             try:
@@ -85,13 +86,23 @@ def register(spark: SparkSession) -> None:
                 out.append(None)
         return pa.array(out, pa.binary())
 
+    def reporter(f):
+        def run(content: pa.Array, path: pa.Array) -> pa.Array:
+            pairs = zip(content, path, strict=True)
+            return pa.array([json.dumps(f(x.as_py(), p.as_py()), ensure_ascii=False) if x.is_valid else None for x, p in pairs], pa.string())
+
+        run.__annotations__ = {"content": pa.Array, "path": pa.Array, "return": pa.Array}
+        return F.arrow_udf(run, "string")
+
     scrub, cut = _rows(rewrite.scrub), _rows(rewrite.cut_overlay)
     for f in (scrub, cut):
         f.__annotations__ = {"a": pa.Array, "return": pa.Array}
     spark.udf.register("media_scrub", F.arrow_udf(scrub, "binary"))
     spark.udf.register("media_cut_overlay", F.arrow_udf(cut, "binary"))
     spark.udf.register("media_convert", F.arrow_udf(convert, "binary"))
-    spark.udf.register("media_parse", F.arrow_udf(describe, "string"))
+    spark.udf.register("media_parse", F.arrow_udf(outline, "string"))
+    spark.udf.register("media_scan_json", reporter(describe.scan))
+    spark.udf.register("media_audit_json", reporter(describe.audit))
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION media_version() RETURNS STRING RETURN '{VERSION}'")
 
 

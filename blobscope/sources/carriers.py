@@ -60,9 +60,6 @@ def png_chunk(kind: bytes, body: Column, broken: Column | None = None) -> Column
     return F.concat(be(F.octet_length(body), 4), named, be(crc, 4))
 
 
-
-
-
 def ihdr(width: Column, height: Column) -> Column:
     return F.concat(be(width, 4), be(height, 4), raw(b"\x08\x02\0\0\0"))
 
@@ -76,12 +73,16 @@ def gif(width: Column, height: Column, *blocks: Column) -> Column:
 
 
 def gif_comment(body: Column) -> Column:
-    """A comment extension in as many sub-blocks of at most 255 bytes as it takes."""
+    return gif_extension(0xFE, body)
+
+
+def gif_extension(label: int, body: Column) -> Column:
+    """An extension in as many sub-blocks of at most 255 bytes as it takes."""
     n, digits = F.octet_length(body), F.hex(body)
     full = F.floor(n / 255).cast("int") * 255
     rest = F.when(n > full, F.concat(be(n - full, 1), F.unhex(F.substring(digits, 2 * full + 1, F.lit(510))))).otherwise(raw(b""))
     blocks = F.unhex(F.regexp_replace(F.substring(digits, F.lit(1), 2 * full), "(.{510})", "FF$1"))
-    return F.concat(raw(b"!\xfe"), blocks, rest, raw(b"\0"))
+    return F.concat(raw(bytes([0x21, label])), blocks, rest, raw(b"\0"))
 
 
 def webp(*chunks: Column) -> Column:
