@@ -26,11 +26,18 @@ def memo(kind: str, clear: Callable[[], None]) -> None:
     _CLEAR[kind] = clear
 
 
+#: Kinds of the task before this one.
+_LAST: list[tuple[str, ...]] = [()]
+
+
 def claim(*kinds: str) -> None:
-    """Empty all memos but those of these kinds."""
+    """Empty all memos but those of these kinds; where the kind of task changes, their memory goes back at once."""
     for k, clear in _CLEAR.items():
         if k not in kinds:
             clear()
+    if _LAST[0] != kinds:
+        _LAST[0] = kinds
+        trim()
 
 
 def trim() -> None:
