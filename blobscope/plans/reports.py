@@ -32,14 +32,14 @@ def _entry(category: str, tag: int | None, key: Column | str, name: Column | str
     return F.when(value.isNotNull(), entry)
 
 
-def entries() -> Column:
-    """The long rows of a file, in a fixed order, from container, size and p."""
+def entries(comment: Column | None = None) -> Column:
+    """The long rows of a file, in a fixed order, from container, size and p. comment: instead of the walk's."""
     p, e = F.col("p"), F.col("p.exif")
     fmt = F.format_string
     both = p["width"].isNotNull() & p["height"].isNotNull()
     number = lambda f, x: F.when(x.isNotNull(), fmt(f, x))
     text_rows = F.transform(F.coalesce(p["text"], F.array().cast("array<struct<key:string,value:string>>")), lambda t: _entry("Text", None, F.concat(F.lit("PNG:"), t["key"]), F.concat(F.lit("PNG Text ("), t["key"], F.lit(")")), t["value"]))
-    comment = F.when(F.col("container").isin("jpeg", "gif"), p["comment"])
+    comment = F.when(F.col("container").isin("jpeg", "gif"), p["comment"] if comment is None else comment)
     head = F.array(
         _entry("Forensics", None, "Container", "Container Format", _named(F.col("container"))),
         _entry("Forensics", None, "FileSize", "File Size", fmt("%d bytes (%.2f KB)", F.col("size"), F.bround(F.col("size") / 1024.0, 2))),
@@ -70,12 +70,12 @@ def entries() -> Column:
     return F.filter(F.concat(head, text_rows, tail), lambda x: x.isNotNull())
 
 
-def scan(files: DataFrame, exif_only: bool = False, gps_only: bool = False) -> DataFrame:
+def scan(files: DataFrame, exif_only: bool = False, gps_only: bool = False, comment: Column | None = None) -> DataFrame:
     """path, pos, category, tag_id, key, name, value. A file that can't be parsed has one row of category
-    Error with its code and message."""
-    p = parsed(files)
+    Error with its code and message. The walk trims a comment; `comment` (of the content) is shown as it is."""
+    p = parsed(files if comment is None else files.withColumn("comment", comment))
     error = F.array(F.struct(F.lit("Error").alias("category"), F.lit(None).cast("int").alias("tag_id"), F.col("p.error.code").alias("key"), F.col("p.error.code").alias("name"), F.col("p.error.message").alias("value")))
-    rows = p.select("path", F.posexplode(F.when(F.col("p.error").isNotNull(), error).otherwise(entries())).alias("pos", "e")).select("path", "pos", "e.*")
+    rows = p.select("path", F.posexplode(F.when(F.col("p.error").isNotNull(), error).otherwise(entries(None if comment is None else F.col("comment")))).alias("pos", "e")).select("path", "pos", "e.*")
     if exif_only:
         return rows.where(F.col("category") == "Exif")
     return rows.where(F.col("category") == "Gps") if gps_only else rows

@@ -178,6 +178,16 @@ def test_whole_texts(spark, long_texts):
     assert all(r["comment"] == f"note {r['doc_id']}" and (r["n_set"], r["n_deleted"]) == (1, 0) for r in run("set_comment_roundtrip"))
 
 
+def test_comments_like_their_sql(spark, tmp_path):
+    """A last segment that begins with a space, vertical tabs and other blanks that no SQL trims."""
+    docs = [(1, "x" + "ab " * 30_000), (2, "\x0ba \x0b \t b\x0b"), (3, "\u00a0a\u2003"), (4, " \n"), (5, "é" * 33_000 + " x"), (6, "a" * 65_533), (7, "\U0001f600 " * 14_000)]
+    spark.createDataFrame([(i, t, len(t)) for i, t in docs], "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    for name in ("scan_long", "jpeg_segments", "jpeg_dims", "scrub_report", "sanitize_report"):
+        assert sorted(tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()) == sorted(con.execute(catalog.ORACLES[name]).fetchall()), name
+
+
 def test_all_rows(spark):
     run = lambda name: [r.asDict() for r in catalog.QUERIES[name](spark, DATA).collect()]
     read = lambda name: spark.read.parquet(f"{DATA}/{name}.parquet").collect()
