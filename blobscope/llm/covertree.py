@@ -9,8 +9,10 @@ link with each other, is a leaf there; its vectors are stored in blocks of bound
 stored with its part of the tree, built once. Then the tree meets itself from the root down: pairs of nodes
 whose centres are further apart than t and both radii are dropped before any vector moves, pairs that lie
 within t altogether are linked as wholes, and only blocks under the pairs of leaves that remain are compared,
-again node by node. Products are taken in single precision, with a bound on their error; what the bound leaves
-open is decided in double precision.
+again node by node. Where few pairs remain, their blocks are shuffled to meet; else they meet in rounds, each of
+which broadcasts some blocks and streams the others past them: disk grows with the vectors, not with the pairs.
+Products are taken in single precision, with a bound on their error; what the bound leaves open is decided in
+double precision.
 
 Copies of a vector are one node with a count, so a hot vector is never compared with itself.
 """
@@ -18,6 +20,7 @@ Copies of a vector are one node with a count, so a hot vector is never compared
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import materialize
+from .scratch import append, discard, materialize, release
 from .workers import bounded, task
 
 #: Vectors of a block, about; children of a node of the upper levels at most, and vectors of a node, about, that
 #: its children are chosen among (all of them are then placed, and radii are measured over all).
 BLOCK, CHILDREN, SAMPLE = 8192, 16, 1024
+#: Vectors that pairs of blocks may move by shuffles, as a multiple of all; bytes of the blocks of a round beyond that.
+SHUFFLED, ROUND_BYTES = 1.5, 32 << 20
 #: Vectors of a leaf inside a block.
 LEAF = 16
 #: A level has gained nothing if a child keeps so much of its parent's vectors and of its radius.
@@ -344,7 +349,8 @@ def _pack(kind: str, leaf: int):
         points = _stack(t.column("point"), kind)
         order, spans, radius = grow(points, leaf)
         nodes, copies = t.column("node").to_numpy()[order], t.column("copies").to_numpy()[order]
-        return pa.table({"path": [key[0].as_py()], "part": pa.array([key[1].as_py()], pa.int32()), "rows": pa.array([len(order)], pa.int32()), "nodes": [nodes.tobytes()], "copies": [copies.tobytes()], "points": [points[order].tobytes()], "spans": [spans.tobytes()], "radius": [radius.tobytes()]})
+        stored = {k: v.tobytes() for k, v in (("nodes", nodes), ("copies", copies), ("points", points[order]), ("spans", spans), ("radius", radius))}
+        return pa.table({"path": [key[0].as_py()], "part": pa.array([key[1].as_py()], pa.int32()), "rows": pa.array([len(order)], pa.int32()), "bytes": [sum(map(len, stored.values()))], **{k: [v] for k, v in stored.items()}})
 
     return run
 
@@ -354,23 +360,23 @@ def _unpack(row: dict, kind: str) -> Tree:
     return Tree(np.frombuffer(row["nodes"], np.int64), np.frombuffer(row["copies"], np.int64), np.frombuffer(row["points"], kind).reshape(n, -1), np.frombuffer(row["spans"], np.int32).reshape(5, -1), np.frombuffer(row["radius"], np.float64))
 
 
-def _upper_levels(rows: DataFrame, kind: str, threshold: float) -> tuple[DataFrame, list[DataFrame]]:
-    """Rows with the path of their leaf, and the nodes of each level: parent, path, centre, radius, n, copies,
-    hub (a vector of it), leaf. Each level is a table; the driver only learns whether one is left to open."""
+def _upper_levels(rows: DataFrame, kind: str, threshold: float) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Tables of rows with the path of their leaf, and the nodes of each level: parent, path, centre, radius, n, copies,
+    hub (a vector of it), leaf. Each level is a table; the driver only learns whether it has leaves and others. Rows
+    stay in one table each: those of leaves go to a table of theirs where a level has both."""
     t = float(np.sqrt(2 - 2 * threshold))
     centres = rows.select("path").distinct().select(F.lit(None).cast("string").alias("parent"), "path", F.lit(None).cast("binary").alias("centre"), F.lit(None).cast("long").alias("parent_n"), F.lit(None).cast("double").alias("parent_radius"))
-    levels, done = [], None
+    levels, done, spark = [], [], rows.sparkSession
     while True:
         sums = rows.groupBy("path").agg(F.count("*").alias("n"), F.max("dist").alias("radius"), F.sum("copies").alias("copies"), F.min("node").alias("hub"))
         stuck = F.coalesce((F.col("n") > KEEPS_ROWS * F.col("parent_n")) & (F.col("radius") > KEEPS_RADIUS * F.col("parent_radius")), F.lit(False))
         level = materialize(sums.join(centres, "path").select("parent", "path", "centre", "radius", "n", "copies", "hub", ((F.col("n") * 2 <= 3 * BLOCK) | (2 * F.col("radius") <= t - SLACK) | stuck).alias("leaf")), "tree-level")
         levels.append(level)
         opened = level.where(~F.col("leaf"))
-        left = opened.isEmpty()
-        own = rows if left else rows.join(level.where("leaf").select("path"), "path", "left_semi")
-        done = own if done is None else done.unionByName(own)
-        if left:
-            return done, levels
+        if opened.isEmpty():
+            return [*done, rows], levels
+        if not level.where("leaf").isEmpty():
+            done.append(materialize(rows.join(level.where("leaf").select("path"), "path", "left_semi"), "leaf-rows"))
         inner = rows.join(opened.select("path", "n", "radius"), "path")
         draw = F.pmod(F.xxhash64(F.lit(len(levels)), "node"), F.lit(1 << 32)) / float(1 << 32)
         heads = opened.where(F.col("centre").isNotNull()).select("path", "n", "radius", F.lit(-1).cast("long").alias("node"), F.col("centre").alias("point"), F.lit(True).alias("first"))
@@ -380,7 +386,11 @@ def _upper_levels(rows: DataFrame, kind: str, threshold: float) -> tuple[DataFra
         left_side = inner.select("path", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"), "node", "copies", "point")
         right_side = chosen.join(opened.select("path", "n"), "path").select("path", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "centres")
         placed = left_side.groupBy("path", "part").cogroup(right_side.groupBy("path", "part")).applyInArrow(_place(kind), "path string, node long, copies long, dist double, point binary")
-        rows = materialize(placed, "placed")
+        last, rows = rows, materialize(placed, "placed")
+        if hasattr(last, "scratch_path"):
+            discard(last)
+        del inner, sample, left_side, right_side, placed
+        release(spark)
         centres = chosen.join(opened.select("path", F.col("n").alias("parent_n"), F.col("radius").alias("parent_radius")), "path").select(F.col("path").alias("parent"), "parent_n", "parent_radius", F.posexplode("centres").alias("k", "centre"))
         centres = centres.select("parent", F.concat_ws("/", "parent", F.col("k").cast("string")).alias("path"), "centre", "parent_n", "parent_radius")
 
@@ -405,6 +415,58 @@ def _meet(levels: list[DataFrame], kind: str, threshold: float) -> DataFrame:
     return out.select("a", "b", "inside")
 
 
+#: Rows of the tables of blocks and of links.
+_BLOCK = "path string, part int, rows int, bytes long, nodes binary, copies binary, points binary, spans binary, radius binary"
+_LINKS = "node long, links long, hub long"
+
+
+def _meet_blocks(stored: DataFrame, met: DataFrame, kind: str, threshold: float) -> DataFrame:
+    """The links between the blocks (path, part) of `stored` that the pairs (a, part_a, b, part_b) of `met` name."""
+    spark, columns = stored.sparkSession, stored.columns
+    schema = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("hub", pa.int64())])
+    # which of two is broadcast is drawn, so that no block streams past all the others
+    swap = F.xxhash64("a", "part_a", "b", "part_b") % 2 == 0
+    met = materialize(met.select(*(F.when(swap, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a", "b"), ("part_a", "part_b"), ("b", "a"), ("part_b", "part_a")))), "block-pairs")
+    sizes = stored.select("path", "part", "rows", "bytes")
+    total = sizes.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    one = F.struct(F.col("a").alias("path"), F.col("part_a").alias("part"))
+    two = F.struct(F.col("b").alias("path"), F.col("part_b").alias("part"))
+    ends = met.select(F.concat_ws(" ", "a", "part_a", "b", "part_b").alias("pair"), F.explode(F.array_distinct(F.array(one, two))).alias("e")).select("pair", "e.*")
+    moved = ends.join(sizes, ["path", "part"]).agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    if moved <= SHUFFLED * total["rows"]:
+
+        def compare(t: pa.Table) -> pa.Table:
+            trees = [_unpack(r, kind) for r in t.drop_columns(["pair"]).to_pylist()]
+            return pa.table(Meeting(trees[0], trees[-1], threshold).result(), schema=schema)
+
+        found = materialize(ends.join(stored, ["path", "part"]).groupBy("pair").applyInArrow(compare, _LINKS), "vector-links")
+        discard(met)
+        return found
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, kept = None, None  # the block that streams past, which meets several
+        for batch in batches:
+            for r in batch.to_pylist():
+                if key != (r["path"], r["part"]):
+                    key, kept = (r["path"], r["part"]), _unpack(r, kind)
+                other = kept if key == (r["with_path"], r["with_part"]) else _unpack({c: r[f"with_{c}"] for c in columns}, kind)
+                links = Meeting(other, kept, threshold).result()
+                yield pa.RecordBatch.from_arrays([pa.array(links[c]) for c in schema.names], schema=schema)
+
+    rounds = -(-total["bytes"] // ROUND_BYTES)
+    turn = lambda path, part: F.pmod(F.xxhash64(path, part), F.lit(rounds))
+    found = None
+    for k in range(rounds):
+        held = stored.where(turn("path", "part") == k).select(*(F.col(c).alias(f"with_{c}") for c in columns))
+        pairs = met.where(turn("a", "part_a") == k).select(F.col("a").alias("with_path"), F.col("part_a").alias("with_part"), F.col("b").alias("path"), F.col("part_b").alias("part"))
+        work = stored.join(F.broadcast(pairs), ["path", "part"]).join(F.broadcast(held), ["with_path", "with_part"])
+        found = append(work.mapInArrow(task(stream), _LINKS), found, "vector-links")
+        del held, pairs, work
+        release(spark)
+    discard(met)
+    return found
+
+
 def near_vectors(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """`id`, n_links (other rows linked directly), component_id (smallest id that links reach), kept.
 
@@ -418,6 +480,7 @@ def near_vectors(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id",
     usable = F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     classes = rows.where(usable).groupBy("v").agg(F.count("*").alias("copies"), F.min("id").alias("first_id"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "vectors")
+    release(df.sparkSession)
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -426,14 +489,17 @@ def near_vectors(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id",
             points = [flat[x:y].tobytes() for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([str(len(x)) for x in points], pa.string()), b.column(1), b.column(2), pa.array(np.full(n, 2.0)), pa.array(points, pa.binary())], ["path", "node", "copies", "dist", "point"])
 
-    points = materialize(classes.select("v", "node", "copies").mapInArrow(task(start), "path string, node long, copies long, dist double, point binary"), "points")
+    points = classes.select("v", "node", "copies").mapInArrow(task(start), "path string, node long, copies long, dist double, point binary")
     placed, levels = _upper_levels(points, kind, threshold)
     tree = levels[0]
     for level in levels[1:]:
         tree = tree.unionByName(level)
     leaves = tree.where("leaf").select("path", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"), "copies", "hub")
-    blocked = placed.join(leaves.select("path", "parts"), "path").select("path", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "node", "copies", "point")
-    stored = materialize(blocked.groupBy("path", "part").applyInArrow(_pack(kind, LEAF), "path string, part int, rows int, nodes binary, copies binary, points binary, spans binary, radius binary"), "blocks")
+    blocked = reduce(DataFrame.unionByName, placed).join(leaves.select("path", "parts"), "path").select("path", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "node", "copies", "point")
+    stored = materialize(blocked.groupBy("path", "part").applyInArrow(_pack(kind, LEAF), _BLOCK), "blocks")
+    discard(*(x for x in placed if hasattr(x, "scratch_path")))
+    del blocked
+    release(df.sparkSession)
     pairs = materialize(_meet(levels, kind, threshold), "leaf-pairs")
 
     # pairs of leaves that are linked as wholes: sums for their rows, without a comparison
@@ -448,26 +514,16 @@ def near_vectors(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id",
                 nodes, copies = np.frombuffer(r["nodes"], np.int64), np.frombuffer(r["copies"], np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(r["more"] - r["itself"] * copies), pa.array(np.full(len(nodes), r["hub"]))], ["node", "links", "hub"])
 
-    schema = "node long, links long, hub long"
-    as_wholes = stored.select("path", "nodes", "copies").join(more, "path").select("nodes", "copies", "more", "itself", "hub").mapInArrow(task(add), schema)
+    as_wholes = stored.select("path", "nodes", "copies").join(more, "path").select("nodes", "copies", "more", "itself", "hub").mapInArrow(task(add), _LINKS)
     hubs = whole.where(~itself).select(F.col("hub_a").alias("node"), F.lit(0).cast("long").alias("links"), F.col("hub_b").alias("hub"))
 
     # the others: every block of one leaf with every block of the other
     part = lambda x: F.explode(F.sequence(F.lit(0), F.col(f"parts_{x}") - 1)).alias(f"part_{x}")
     met = pairs.where("not inside").join(leaves.select(F.col("path").alias("a"), F.col("parts").alias("parts_a")), "a").join(leaves.select(F.col("path").alias("b"), F.col("parts").alias("parts_b")), "b")
     met = met.select("a", "b", part("a"), "parts_b").select("a", "b", "part_a", part("b")).where((F.col("a") != F.col("b")) | (F.col("part_a") <= F.col("part_b")))
-    one = F.struct(F.col("a").alias("path"), F.col("part_a").alias("part"))
-    two = F.struct(F.col("b").alias("path"), F.col("part_b").alias("part"))
-    ends = met.select(F.concat_ws(" ", "a", "part_a", "b", "part_b").alias("pair"), F.explode(F.array_distinct(F.array(one, two))).alias("e")).select("pair", "e.*")
-    work = ends.join(stored, ["path", "part"])
-
-    def compare(t: pa.Table) -> pa.Table:
-        trees = [_unpack(r, kind) for r in t.drop_columns(["pair"]).to_pylist()]
-        found = Meeting(trees[0], trees[-1], threshold).result()
-        return pa.table(found, schema=pa.schema([("node", pa.int64()), ("links", pa.int64()), ("hub", pa.int64())]))
-
-    found = work.groupBy("pair").applyInArrow(compare, schema).unionByName(as_wholes).unionByName(hubs)
-    found = materialize(found, "vector-links")
+    found = append(as_wholes.unionByName(hubs), _meet_blocks(stored, met, kind, threshold), "vector-links")
+    discard(stored)
+    release(df.sparkSession)
     roots = materialize(components(found.select(F.col("node").alias("a"), F.col("hub").alias("b"))), "roots")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     labelled = classes.join(counts, "node", "left").join(roots, "node", "left").select("v", "first_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -50,6 +51,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def append(df: DataFrame, table: DataFrame | None, name: str) -> DataFrame:
+    """As `materialize`, but onto the files of `table`, where there is one."""
+    if table is None:
+        return materialize(df, name)
+    df.write.mode("append").option("compression", "zstd").parquet(table.scratch_path)
+    out = df.sparkSession.read.schema(df.schema).parquet(table.scratch_path)
+    out.scratch_path = table.scratch_path
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files and broadcasts of finished steps now: it does so when the driver collects
+    its garbage, which may be long after (spark.cleaner.periodicGC.interval)."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of `materialize` that nothing will read any more."""
     for df in tables:

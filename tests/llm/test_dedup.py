@@ -159,3 +159,29 @@ def test_near_vectors(spark, sizes, monkeypatch):
     assert {i: r["n_links"] for i, r in got.items()} == {i: n[i] for i in range(len(x))}
     assert {i: r["component_id"] for i, r in got.items()} == want and all(r["kept"] == (i == want[i]) for i, r in got.items())
     assert covertree.near_vectors(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("shuffled", [0, 1e9])
+def test_vectors_without_structure(spark, shuffled, monkeypatch):
+    """All blocks meet: in rounds, what is shuffled doesn't grow with their pairs; results are those of the other way."""
+    for name, v in (("BLOCK", 64), ("SAMPLE", 64), ("SHUFFLED", shuffled), ("ROUND_BYTES", 1 << 18)):
+        monkeypatch.setattr(covertree, name, v)
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((2000, 32)).astype(np.float32)
+    x[::50] = x[1::50] + np.float32(0.1) * x[2::50]
+    x[7::100] = x[7]
+    u = covertree.units(x)
+    i, j = np.nonzero(np.triu(u @ u.T >= 0.9, 1))
+    n, want = np.bincount(np.concatenate([i, j]), minlength=len(x)), groups(range(len(x)), zip(i.tolist(), j.tolist(), strict=True))
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    sc = spark.sparkContext._jsc.sc()
+
+    def written() -> int:
+        sc.listenerBus().waitUntilEmpty()
+        each = sc.statusStore().executorList(True)
+        return sum(each.apply(k).totalShuffleWrite() for k in range(each.size()))
+
+    before = written()
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in covertree.near_vectors(df).collect()}
+    assert got == {k: (n[k], want[k]) for k in range(len(x))} and len(i) > 200
+    assert (written() - before < 16 * x.nbytes) == (shuffled == 0)
